@@ -16,13 +16,13 @@ from . import common
 #: Bytes of a repeated string, and of the grams of which each such string holds an anchor.
 LENGTH, GRAM = 50, 16
 #: Bytes of anchors or contexts that a bucket is meant to hold, and bytes of text handled at once.
-BUCKET, CHUNK = 24 << 20, 4 << 20
+BUCKET, CHUNK = 16 << 20, 1 << 20
 #: What an anchor takes in a bucket, and the anchors in each byte of text.
 ANCHOR_BYTES, DENSITY = 24, 0.06
 #: Bytes next to a gram on the side where a string that holds the gram has more of its bytes.
 SIDE = (LENGTH - GRAM) // 2
 #: Bytes of contexts that are transformed at once, if no key alone has more.
-TRANSFORM = 2 << 20
+TRANSFORM = 1 << 20
 NO_ID = 2**63 - 1
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -186,7 +186,10 @@ def compare(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
     for side in ("pre", "post"):
         key, several = _shared(rows, side)
         if several.any():
-            yield _found(rows["doc"][several], rows["tag"][several], key[several], *_around(rows[several]))
+            # a string that holds the gram has SIDE bytes or more of its own on one side; only such strings count here
+            at = rows["pos"][several].astype(np.int64)
+            lo, hi = (at - (LENGTH - GRAM), at + LENGTH - SIDE) if side == "pre" else (at - SIDE, at + LENGTH)
+            yield _found(rows["doc"][several], rows["tag"][several], key[several], np.maximum(lo, 0), hi)
 
 
 def repeated(text: np.ndarray, prev: np.ndarray, psi: np.ndarray, length: int) -> np.ndarray:
@@ -198,6 +201,7 @@ def repeated(text: np.ndarray, prev: np.ndarray, psi: np.ndarray, length: int) -
     A row that parts at k has the common prefix k with the row before; expansion stops at ``length``.
     """
     first = np.sort(prev, kind="stable")
+    psi = psi.astype(np.int32)
     edge = np.concatenate([[True], first[1:] != first[:-1]])
     parts = edge
     for _ in range(length - 1):
@@ -208,10 +212,13 @@ def repeated(text: np.ndarray, prev: np.ndarray, psi: np.ndarray, length: int) -
 
 def transform(text: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(suffix order, Burrows-Wheeler transform, psi) of a cyclic text, suffixes sorted by at least ``length`` symbols."""
-    n = len(text)
-    rank, done = text.astype(np.int64), 1
+    n, many = len(text), 63 // int(text.max(initial=1)).bit_length()
+    rank = np.zeros(n, dtype=np.int64)
+    for k in range(many):
+        rank = (rank << int(text.max(initial=1)).bit_length()) | np.roll(text, -k)
+    done = many
     while True:
-        order = np.argsort(rank, kind="stable")
+        order = np.argsort(rank)
         if done >= length:
             break
         dense = np.cumsum(np.concatenate([[0], rank[order][1:] != rank[order][:-1]]))
@@ -223,6 +230,25 @@ def transform(text: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.nd
     return order, prev, np.argsort(prev, kind="stable")
 
 
+def _distinct(key: np.ndarray, doc: np.ndarray, tag: np.ndarray, lo: np.ndarray, pieces: list[bytes]) -> tuple[np.ndarray, pa.RecordBatch | None]:
+    """The contexts to transform, sorted by key: of equal ones under a key those of the smallest document. The others repeat."""
+    low: dict[tuple[int, bytes], int] = {}
+    for k, d, p in zip(key.tolist(), doc.tolist(), pieces, strict=True):
+        if low.get((k, p), NO_ID) >= d:
+            low[k, p] = d
+    later = np.array([low[k, p] < d for k, d, p in zip(key.tolist(), doc.tolist(), pieces, strict=True)], dtype=bool)
+    kept = np.flatnonzero(~later)
+    # a key that is left with one context has nothing to compare
+    _, which, n = np.unique(key[kept], return_inverse=True, return_counts=True)
+    kept = kept[n[which] > 1]
+    gone = None
+    if later.any():
+        size = np.array([len(p) for p in pieces])[later]
+        at = lo[later][size >= LENGTH]
+        gone = _found(doc[later][size >= LENGTH], tag[later][size >= LENGTH], None, at, at + size[size >= LENGTH])
+    return kept[np.argsort(key[kept], kind="stable")], gone
+
+
 def settle(doc: np.ndarray, tag: np.ndarray, lo: np.ndarray, pieces: list[bytes]) -> pa.RecordBatch | None:
     """Removed ranges among contexts: strings of LENGTH bytes that another context of a smaller document also holds."""
     sizes = np.array([len(p) + 1 for p in pieces])
@@ -257,9 +283,9 @@ def _merged(ranges: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """doc (the id; null last), tag (16 bits of the text's hash, to tell rows with one id apart) and the text's bytes."""
+    """doc (the id; the largest one for null), tag (16 bits of the text's hash, to tell rows with one id apart) and the text's bytes."""
     rows = docs.select("doc_id", common.text_or_empty().alias("text"))
-    return rows.select("doc_id", F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("doc"), F.pmod(F.xxhash64("text"), F.lit(1 << 16)).cast("int").alias("tag"), F.encode("text", "UTF-8").alias("data"))
+    return rows.select(F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("doc"), F.xxhash64("text").bitwiseAND(F.lit(0xFFFF)).cast("int").alias("tag"), F.encode("text", "UTF-8").alias("data"))
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
@@ -351,8 +377,12 @@ def repeated_ranges(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                     pieces.append(x[at : at + size])
                     at += size
             key, doc, tag, lo, _ = np.concatenate(heads, axis=1)
-            order = np.lexsort((doc, key))
-            edges = np.flatnonzero(np.diff(key[order], prepend=key[order[0]] - 1))
+            order, gone = _distinct(key, doc, tag, lo, pieces)
+            if gone is not None:
+                yield gone
+            if not len(order):
+                continue
+            edges = np.flatnonzero(np.diff(key[order], prepend=key[order[:1]] - 1))
             begin = total = 0
             for x, y in zip(edges, [*edges[1:], len(order)], strict=True):
                 if total and total + (y - x) * 2 * LENGTH > TRANSFORM:
@@ -364,7 +394,7 @@ def repeated_ranges(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 yield got
 
     asked = contexts.groupBy("doc", "tag").agg(F.collect_list(F.struct("key", "lo", "hi")).alias("at"))
-    pieces = keyed.join(asked, ["doc", "tag"]).select("doc", "tag", "data", "at").mapInArrow(cut, "bucket int, data binary")
+    pieces = keyed.join(asked, ["doc", "tag"]).mapInArrow(cut, "bucket int, data binary")
     second = pieces.repartition(m, "bucket").sortWithinPartitions("bucket").mapInArrow(decide, kind)
     return keyed, first.where("key is null").union(second).select("doc", "tag", "lo", "hi")
 
@@ -377,7 +407,7 @@ def removals(docs: DataFrame) -> DataFrame:
     """
     keyed, ranges = repeated_ranges(docs)
     own = ranges.groupBy("doc", "tag").agg(F.collect_set(F.struct("lo", "hi")).alias("at"))
-    both = keyed.join(own, ["doc", "tag"], "left").select("doc_id", "data", "at")
+    both = keyed.join(own, ["doc", "tag"], "left").select("doc", "data", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -389,7 +419,7 @@ def removals(docs: DataFrame) -> DataFrame:
                     kept.update(data[last:x])
                     last = y
                 kept.update(data[last:])
-                rows.append((doc, len(data), sum(y - x for x, y in spans), len(spans), kept.hexdigest()))
+                rows.append((None if doc == NO_ID else doc, len(data), sum(y - x for x, y in spans), len(spans), kept.hexdigest()))
             cols = zip(*rows, strict=True) if rows else [()] * 5
             kinds = [pa.int64()] * 4 + [pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
