@@ -90,31 +90,43 @@ def map_texts(df: DataFrame, column: str, fn: Callable[[list[str]], list[pa.Arra
     return df.mapInArrow(run, schema)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of edges (u, v), by alternating large-star and small-star steps.
+#: Half of a long, for the mixing of node ids.
+_HALF = 0xFFFFFFFF
 
-    Returns (node, root): the smallest reachable node for each node that isn't a root itself. Every step is a grouped
-    minimum (combined before the shuffle) joined back to the edges, so a hub is never gathered in one place.
-    """
 
-    def size(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.col("v") % 1000003), F.sum(F.xxhash64("u", "v") % 1000003)).first())
+def _mixed(c: Column, back: bool = False) -> Column:
+    """A one-to-one map of longs that looks random (four rounds on the two halves), and the way back."""
+    hi, lo = F.shiftrightunsigned(c, 32), c.bitwiseAND(F.lit(_HALF))
+    for k in (3, 2, 1, 0) if back else (0, 1, 2, 3):
+        if back:
+            hi, lo = lo.bitwiseXOR(F.xxhash64(hi, F.lit(k)).bitwiseAND(F.lit(_HALF))), hi
+        else:
+            hi, lo = lo, hi.bitwiseXOR(F.xxhash64(lo, F.lit(k)).bitwiseAND(F.lit(_HALF)))
+    return F.shiftleft(hi, 32).bitwiseOR(lo)
 
-    def star(pairs: DataFrame) -> DataFrame:
-        low = pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        return pairs.join(low, "u")
 
-    e = saved(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    seen = size(e)
-    while seen[0]:
+def components(edges: DataFrame) -> DataFrame:
+    """Connected components of edges (u, v): (node, root), root being the component's smallest node.
+
+    Each round every node moves to the smallest node next to it or itself, in an order that is random with respect to
+    the ids, and the edges between the nodes moved to make the next round's graph, until none is left. The smallest
+    neighbour is a grouped minimum, combined before the shuffle, and moves are joined on single nodes, so a hub is never
+    gathered in one place. The rounds needed grow with the logarithm of the largest component.
+    """
+    e = saved(edges.where("u <> v").select(_mixed(F.col("u")).alias("u"), _mixed(F.col("v")).alias("v")).distinct())
+    moved = None
+    while not e.isEmpty():
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = star(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        small = star(down)
-        hooked = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
-        e = saved(hooked.where("u <> v").distinct())
-        now = size(e)
-        if now == seen:
-            break
-        seen = now
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        step = saved(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("dest")))
+        first, second = step.select("u", F.col("dest").alias("a")), step.select(F.col("u").alias("v"), F.col("dest").alias("b"))
+        e = saved(e.join(first, "u").join(second, "v").where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
+        if moved is None:
+            moved = step
+        else:
+            later = step.select(F.col("u").alias("w"), F.col("dest").alias("end"))
+            moved = moved.join(later, moved.dest == later.w, "left").select("u", F.coalesce("end", "dest").alias("dest"))
+    if moved is None:
+        return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).where("false")
+    moved = saved(moved.select(_mixed(F.col("u"), back=True).alias("node"), "dest"))
+    low = moved.groupBy("dest").agg(F.min("node").alias("root"))
+    return moved.join(low, "dest").select("node", "root")

@@ -11,6 +11,7 @@ import pytest
 import xxhash
 
 from quillstream.llm import decontaminate, html_text, imatch, language, licenses, line_dedup, mixing, queries, simhash, suffix_dedup, warc
+from quillstream.llm.common import components
 from quillstream.llm.oracles import ORACLE_SQL
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, component_id string"
@@ -50,6 +51,23 @@ def docs(spark, rows):
     return spark.createDataFrame(rows, DOC)
 
 
+def test_components(spark):
+    rng = random.Random(3)
+    edges = [(i, i + 1) for i in range(0, 120)] + [(-5, k) for k in range(1000, 1100)] + [(rng.randrange(-(2**62), 2**62) * 2, k) for k in range(2000, 2050)] + [(2000, 2010), (7, 7)]
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for u, v in edges:
+        a, b = sorted((find(u), find(v)))
+        root[b] = a
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {x: find(x) for x in root}
+
+
 def empty(spark):
     return spark.createDataFrame([], DOC)
 
@@ -224,7 +242,7 @@ def test_lines(spark):
 
 
 def test_lines_match_all_pairs(spark):
-    """Groups equal those of all pairs of distinct lines whose fingerprints and edit distance are close."""
+    """Groups equal those of all pairs of distinct lines that share two fingerprint blocks and are close in edit distance."""
     rng = random.Random(9)
     vocab = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(200)]
     lines = []
@@ -257,7 +275,8 @@ def test_lines_match_all_pairs(spark):
     for i in fp:
         for j in range(i):
             a, b = lines[i], lines[j]
-            if (fp[i] ^ fp[j]).bit_count() <= line_dedup.BITS and distance(a, b) <= int(max(len(a), len(b)) * 0.2 + 1e-9):
+            shared = sum((fp[i] ^ fp[j]) >> 16 * k & 0xFFFF == 0 for k in range(4))
+            if shared >= 2 and distance(a, b) <= int(max(len(a), len(b)) * 0.2 + 1e-9):
                 root[find(i)] = find(j)
     want = {i for i in fp if any(find(j) == find(i) for j in range(i))}
     got = {r.doc_id for r in line_dedup.report(docs).where("n_removed > 0").collect()}
