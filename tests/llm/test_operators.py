@@ -247,7 +247,7 @@ def test_lines_match_all_pairs(spark):
     vocab = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(200)]
     lines = []
     for _ in range(12):
-        base = [rng.choice(vocab) for _ in range(rng.randint(25, 60))]
+        base = [rng.choice(vocab) for _ in range(rng.randint(60, 110))]
         for _ in range(15):
             own = list(base)
             for _ in range(rng.randint(0, 2)):
@@ -276,7 +276,7 @@ def test_lines_match_all_pairs(spark):
         for j in range(i):
             a, b = lines[i], lines[j]
             shared = sum((fp[i] ^ fp[j]) >> 16 * k & 0xFFFF == 0 for k in range(4))
-            if shared >= 2 and distance(a, b) <= int(max(len(a), len(b)) * 0.2 + 1e-9):
+            if shared >= 2 and (fp[i] ^ fp[j]).bit_count() <= line_dedup.BITS and distance(a, b) <= int(max(len(a), len(b)) * 0.2 + 1e-9):
                 root[find(i)] = find(j)
     want = {i for i in fp if any(find(j) == find(i) for j in range(i))}
     got = {r.doc_id for r in line_dedup.report(docs).where("n_removed > 0").collect()}
