@@ -17,22 +17,22 @@ def union(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def sweep(df: DataFrame, keys: list[str]) -> DataFrame:
     """Elementary segments between all edges of a key, with the number of intervals that cover them (1 or more)."""
-    edges = df.where("start_ms < end_ms").select(*keys, F.explode(F.array(F.struct(F.col("start_ms").alias("at"), F.lit(1).alias("d")), F.struct(F.col("end_ms").alias("at"), F.lit(-1).alias("d")))).alias("e"))
-    edges = edges.groupBy(*keys, F.col("e.at").alias("start_ms")).agg(F.sum("e.d").alias("d"))
+    edges = df.where("start_ms < end_ms").select(*keys, F.explode(F.array(F.struct(F.col("start_ms").alias("at"), F.lit(1).alias("d")), F.struct(F.col("end_ms").alias("at"), F.lit(-1).alias("d")))).alias("_e"))
+    edges = edges.groupBy(*keys, F.col("_e.at").alias("start_ms")).agg(F.sum("_e.d").alias("_d"))
     order = Window.partitionBy(*keys).orderBy("start_ms")
-    out = edges.withColumn("end_ms", F.lead("start_ms").over(order)).withColumn("active", F.sum("d").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    out = edges.withColumn("end_ms", F.lead("start_ms").over(order)).withColumn("active", F.sum("_d").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return out.where("active > 0 AND end_ms IS NOT NULL").select(*keys, "start_ms", "end_ms", "active")
 
 
 def subtract(keep: DataFrame, cuts: DataFrame, keys: list[str]) -> DataFrame:
     """Parts of the kept intervals of a key that no cut covers, merged where they touch."""
-    both = union(keep, keys).select(*keys, "start_ms", "end_ms", F.lit(1).alias("kind")).union(union(cuts, keys).select(*keys, "start_ms", "end_ms", F.lit(0).alias("kind")))
-    edges = both.select(*keys, F.explode(F.array(F.struct(F.col("start_ms").alias("at"), F.lit(1).alias("d")), F.struct(F.col("end_ms").alias("at"), F.lit(-1).alias("d")))).alias("e"), "kind")
-    edges = edges.groupBy(*keys, F.col("e.at").alias("start_ms")).agg(F.sum(F.when(F.col("kind") == 1, F.col("e.d")).otherwise(0)).alias("k"), F.sum(F.when(F.col("kind") == 0, F.col("e.d")).otherwise(0)).alias("c"))
+    both = union(keep, keys).select(*keys, "start_ms", "end_ms", F.lit(1).alias("_kind")).union(union(cuts, keys).select(*keys, "start_ms", "end_ms", F.lit(0).alias("_kind")))
+    edges = both.select(*keys, F.explode(F.array(F.struct(F.col("start_ms").alias("at"), F.lit(1).alias("d")), F.struct(F.col("end_ms").alias("at"), F.lit(-1).alias("d")))).alias("_e"), "_kind")
+    edges = edges.groupBy(*keys, F.col("_e.at").alias("start_ms")).agg(F.sum(F.when(F.col("_kind") == 1, F.col("_e.d")).otherwise(0)).alias("_keep"), F.sum(F.when(F.col("_kind") == 0, F.col("_e.d")).otherwise(0)).alias("_cut"))
     order = Window.partitionBy(*keys).orderBy("start_ms")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    out = edges.select(*keys, "start_ms", F.lead("start_ms").over(order).alias("end_ms"), F.sum("k").over(upto).alias("k"), F.sum("c").over(upto).alias("c"))
-    return union(out.where("k > 0 AND c = 0 AND end_ms IS NOT NULL").select(*keys, "start_ms", "end_ms"), keys)
+    out = edges.select(*keys, "start_ms", F.lead("start_ms").over(order).alias("end_ms"), F.sum("_keep").over(upto).alias("_keep"), F.sum("_cut").over(upto).alias("_cut"))
+    return union(out.where("_keep > 0 AND _cut = 0 AND end_ms IS NOT NULL").select(*keys, "start_ms", "end_ms"), keys)
 
 
 def max_overlap(units: DataFrame, turns: DataFrame, key: str, bin_ms: int) -> DataFrame:
