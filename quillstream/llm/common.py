@@ -15,6 +15,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Runs of anything but ASCII digits, ASCII lower-case letters and non-ASCII characters.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SPACES = r"[\x20\x09-\x0D]+"
+#: Rows of a batch whose texts are Python objects at one time.
+SLICE = 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,7 +85,7 @@ def map_texts(df: DataFrame, column: str, fn: Callable[[list[str]], list[pa.Arra
     names, at = schema.names, df.columns.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(k, SLICE) for whole in batches for k in range(0, whole.num_rows, SLICE)):
             got = fn([x or "" for x in b.column(at).to_pylist()])
             yield pa.RecordBatch.from_arrays([*b.columns, *got], names=names)
 

@@ -17,8 +17,8 @@ WORD = re.compile(r"[^\W\d_]+")
 #: Feature buckets; labelled documents to learn from, for each language and in all; training sequences and their words.
 BUCKETS, PER_LANGUAGE, MOST_DOCS, SEQUENCES, STEPS = 1 << 16, 250, 4000, 1600, 40
 ROUNDS, RATE, DECAY = 40, 0.3, 1e-4
-#: Words in a stretch of the chain, words handled at once, and words whose features are remembered.
-STRETCH, BLOCK, REMEMBERED = 64, 400_000, 300_000
+#: Words in a stretch of the chain, words after which a block is handled, and words whose features are remembered.
+STRETCH, BLOCK, REMEMBERED = 64, 100_000, 300_000
 UNKNOWN = "und"
 
 
@@ -100,19 +100,31 @@ class Crf:
 
     def classify(self, texts: list[str]) -> list[tuple[str, float]]:
         """The label with the most word probability and its share; UNKNOWN for a text without letters."""
-        found = [[w.lower() for w in WORD.findall(t)] for t in texts]
         out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
         if not self.labels:
             return out
-        todo = [k for k, w in enumerate(found) if w]
-        while todo:
-            own, size = [], 0
-            while todo and (not own or size + len(found[todo[-1]]) <= BLOCK):
-                own.append(todo.pop())
-                size += len(found[own[-1]])
-            for k, p in zip(own, self.posteriors([found[k] for k in own]), strict=True):
+        own: list[int] = []
+        found: list[list[str]] = []
+
+        def settle() -> None:
+            for k, p in zip(own, self.posteriors(found), strict=True):
                 share = p.mean(axis=0)
                 out[k] = self.labels[int(share.argmax())], float(min(1.0, share.max()))
+            own.clear()
+            found.clear()
+
+        size = 0
+        for k, text in enumerate(texts):
+            words = [w.lower() for w in WORD.findall(text)]
+            if words:
+                own.append(k)
+                found.append(words)
+                size += len(words)
+            if size >= BLOCK:
+                settle()
+                size = 0
+        if own:
+            settle()
         return out
 
 
