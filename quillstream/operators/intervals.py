@@ -46,3 +46,24 @@ def max_overlap(units: DataFrame, turns: DataFrame, key: str, bin_ms: int) -> Da
     hit = u.join(t, (u[key] == t["_k"]) & (u["_bin"] == t["_bin"]) & (u["start_ms"] < t["_b"]) & (u["end_ms"] > t["_a"])).where(u["_bin"] == F.floor(F.greatest("start_ms", "_a") / bin_ms))
     best = hit.groupBy("event_id").agg(F.max(F.struct((F.least("end_ms", "_b") - F.greatest("start_ms", "_a")).alias("overlap"), (-F.col("_a")).alias("a"), "_speaker")).alias("m"))
     return units.join(best, "event_id", "left").select("event_id", F.coalesce(F.col("m._speaker").cast("string"), F.lit("speaker_unknown")).alias("speaker"), F.coalesce("m.overlap", F.lit(0)).alias("overlap_ms"))
+
+
+def overlaps(left: DataFrame, right: DataFrame, keys: list[str], bin_ms: int) -> DataFrame:
+    """Pairs of half-open intervals of equal keys that overlap; the right side's other columns are named o_*.
+
+    Both sides are exploded to the time bins that they touch, so the join is on equal keys; a pair that meets in
+    several bins is kept in the first of them only.
+    """
+    touch = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / bin_ms), F.floor(F.col(b) / bin_ms)))
+    a = left.where("start_ms < end_ms").withColumn("_bin", touch("start_ms", "end_ms"))
+    b = right.where("start_ms < end_ms").select(*keys, *[F.col(c).alias(f"o_{c}") for c in right.columns if c not in keys]).withColumn("_bin", touch("o_start_ms", "o_end_ms"))
+    hit = a.join(b, [*keys, "_bin"]).where("start_ms < o_end_ms AND o_start_ms < end_ms")
+    return hit.where(F.col("_bin") == F.floor(F.greatest("start_ms", "o_start_ms") / bin_ms)).drop("_bin")
+
+
+def band(left: DataFrame, right: DataFrame, keys: list[str], most_ms: int) -> DataFrame:
+    """Pairs of rows of equal keys whose start_ms differ by ``most_ms`` at most: bins of that width, the right side in three of them."""
+    a = left.withColumn("_bin", F.floor(F.col("start_ms") / most_ms))
+    b = right.select(*keys, *[F.col(c).alias(f"o_{c}") for c in right.columns if c not in keys])
+    b = b.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("o_start_ms") / most_ms) - 1, F.floor(F.col("o_start_ms") / most_ms) + 1)))
+    return a.join(b, [*keys, "_bin"]).where(F.abs(F.col("start_ms") - F.col("o_start_ms")) <= most_ms).drop("_bin")

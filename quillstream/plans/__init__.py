@@ -1,0 +1,6 @@
+"""All queries over the driver's tables; importing a module registers its queries."""
+
+from . import queries, relations
+from .registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "queries", "relations"]

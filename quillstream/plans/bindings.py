@@ -21,7 +21,7 @@ def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     start = F.floor(micros("ts") / 1000)
     return e.select(
-        F.col("user_id").alias("doc_id"), "event_id", (F.row_number().over(w) - 1).alias("idx"), start.alias("start_ms"),
+        F.col("user_id").alias("doc_id"), "event_id", (F.row_number().over(w) - 1).cast("long").alias("idx"), start.alias("start_ms"),
         (start + F.floor(F.col("value") * 600000)).alias("end_ms"), F.col("event_type").alias("text"), (F.col("event_id") % 4).alias("speaker"), ((F.col("event_id") * 7) % 100).alias("conf"),
     )
 

@@ -2,67 +2,31 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
 from ..operators import intervals as ivl
 from .bindings import CUES, TASKS, UNITS, cues, micros, table, tasks, units
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str, name: str | None = None):
-    def add(f):
-        QUERIES[name or f.__name__] = f
-        ORACLE_SQL[name or f.__name__] = sql
-        return f
-
-    return add
-
-
-def by_doc():
-    return Window.partitionBy("doc_id").orderBy("idx")
-
-
-def before():
-    return by_doc().rowsBetween(Window.unboundedPreceding, -1)
-
-
-def by_speaker():
-    return Window.partitionBy("doc_id", "speaker").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-
-
-def _units_query(name: str, cols: Callable[[], dict], sql_cols: str, where: str = "") -> None:
-    """A query over units that adds window columns, maybe filtered by them."""
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        got = units(spark, sf_dir).withColumns(cols())
-        return (got.where(where) if where else got).select("event_id", *cols())
-
-    query(f"WITH {UNITS} SELECT * FROM (SELECT event_id, {sql_cols} FROM units)" + (f" WHERE {where}" if where else ""), name)(run)
-
+from .registry import ORACLE_SQL, QUERIES, before, by_doc, by_speaker, query, units_query
 
 _W = "(PARTITION BY doc_id ORDER BY idx)"
 _P = "(PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-_units_query("win_gap", lambda: {"gap_ms": F.greatest(F.lead("start_ms").over(by_doc()) - F.col("end_ms"), F.lit(0))}, f"CASE WHEN lead(start_ms) OVER {_W} IS NULL THEN 0 ELSE greatest(lead(start_ms) OVER {_W} - end_ms, 0) END AS gap_ms")
-_units_query("win_boundary_gap", lambda: {"gap_ms": F.coalesce(F.greatest(F.lead("start_ms").over(by_doc()) - F.col("end_ms"), F.lit(0)), F.lit(0))}, f"coalesce(greatest(lead(start_ms) OVER {_W} - end_ms, 0), 0) AS gap_ms")
-_units_query("win_running_max_end", lambda: {"reach_ms": F.max("end_ms").over(before()), "overlaps": F.coalesce(F.col("start_ms") < F.max("end_ms").over(before()), F.lit(False))}, f"max(end_ms) OVER {_P} AS reach_ms, coalesce(start_ms < max(end_ms) OVER {_P}, false) AS overlaps")
-_units_query("win_prev_end_per_speaker", lambda: {"prev_end_ms": F.max("end_ms").over(by_speaker())}, "max(end_ms) OVER (PARTITION BY doc_id, speaker ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_end_ms")
-_units_query("win_pause_removal", lambda: {"pause_ms": F.greatest(F.col("start_ms") - F.max("end_ms").over(before()), F.lit(0))}, f"CASE WHEN max(end_ms) OVER {_P} IS NULL THEN 0 ELSE greatest(start_ms - max(end_ms) OVER {_P}, 0) END AS pause_ms")
-_units_query("win_snap_floor", lambda: {"floor_ms": F.least(F.coalesce(F.lag("end_ms").over(by_doc()), F.lit(0)), F.col("start_ms"))}, f"least(coalesce(lag(end_ms) OVER {_W}, 0), start_ms) AS floor_ms")
-_units_query("win_moving_average", lambda: {"mean_conf": F.round(F.avg("conf").over(by_doc().rowsBetween(-1, 1)), 6)}, "round(avg(conf) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 6) AS mean_conf")
-_units_query("win_sliding_ratio", lambda: {
+units_query("win_gap", lambda: {"gap_ms": F.greatest(F.lead("start_ms").over(by_doc()) - F.col("end_ms"), F.lit(0))}, f"CASE WHEN lead(start_ms) OVER {_W} IS NULL THEN 0 ELSE greatest(lead(start_ms) OVER {_W} - end_ms, 0) END AS gap_ms")
+units_query("win_boundary_gap", lambda: {"gap_ms": F.coalesce(F.greatest(F.lead("start_ms").over(by_doc()) - F.col("end_ms"), F.lit(0)), F.lit(0))}, f"coalesce(greatest(lead(start_ms) OVER {_W} - end_ms, 0), 0) AS gap_ms")
+units_query("win_running_max_end", lambda: {"reach_ms": F.max("end_ms").over(before()), "overlaps": F.coalesce(F.col("start_ms") < F.max("end_ms").over(before()), F.lit(False))}, f"max(end_ms) OVER {_P} AS reach_ms, coalesce(start_ms < max(end_ms) OVER {_P}, false) AS overlaps")
+units_query("win_prev_end_per_speaker", lambda: {"prev_end_ms": F.max("end_ms").over(by_speaker())}, "max(end_ms) OVER (PARTITION BY doc_id, speaker ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_end_ms")
+units_query("win_pause_removal", lambda: {"pause_ms": F.greatest(F.col("start_ms") - F.max("end_ms").over(before()), F.lit(0))}, f"CASE WHEN max(end_ms) OVER {_P} IS NULL THEN 0 ELSE greatest(start_ms - max(end_ms) OVER {_P}, 0) END AS pause_ms")
+units_query("win_snap_floor", lambda: {"floor_ms": F.least(F.coalesce(F.lag("end_ms").over(by_doc()), F.lit(0)), F.col("start_ms"))}, f"least(coalesce(lag(end_ms) OVER {_W}, 0), start_ms) AS floor_ms")
+units_query("win_moving_average", lambda: {"mean_conf": F.round(F.avg("conf").over(by_doc().rowsBetween(-1, 1)), 6)}, "round(avg(conf) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 6) AS mean_conf")
+units_query("win_sliding_ratio", lambda: {
     "quiet_before": F.round(F.avg(F.when(F.col("conf") < 30, 1.0).otherwise(0.0)).over(by_doc().rowsBetween(-4, -1)), 6), "voiced_after": F.round(F.avg(F.when(F.col("conf") >= 30, 1.0).otherwise(0.0)).over(by_doc().rowsBetween(1, 6)), 6)},
     "round(avg(CASE WHEN conf < 30 THEN 1.0::DOUBLE ELSE 0.0 END) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), 6) AS quiet_before, round(avg(CASE WHEN conf >= 30 THEN 1.0::DOUBLE ELSE 0.0 END) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND 6 FOLLOWING), 6) AS voiced_after")
-_units_query("filter_speaker_change", lambda: {"next_speaker": F.lead("speaker").over(by_doc()), "both_conf": F.least("conf", F.lead("conf").over(by_doc())), "speaker": F.col("speaker")}, f"lead(speaker) OVER {_W} AS next_speaker, CASE WHEN lead(conf) OVER {_W} IS NULL THEN conf ELSE least(conf, lead(conf) OVER {_W}) END AS both_conf, speaker", "next_speaker <> speaker AND both_conf >= 75")
-_units_query("filter_low_confidence", lambda: {"conf": F.col("conf"), "reason": F.when(F.col("text") == "error", "needs_review").when(F.col("conf") < 55, "low_confidence")}, "conf, CASE WHEN text = 'error' THEN 'needs_review' WHEN conf < 55 THEN 'low_confidence' END AS reason", "reason IS NOT NULL")
-_units_query("fn_time_valid", lambda: {"valid": (F.col("start_ms") >= 0) & (F.col("end_ms") > F.col("start_ms"))}, "start_ms >= 0 AND end_ms > start_ms AS valid")
-_units_query("win_sequence_number_check", lambda: {"contiguous": F.coalesce(F.col("idx") == F.lag("idx").over(by_doc()) + 1, F.col("idx") == 0)}, f"coalesce(idx = lag(idx) OVER {_W} + 1, idx = 0) AS contiguous")
-_units_query("dq_ordered_index", lambda: {"ordered": F.coalesce(F.col("start_ms") >= F.lag("start_ms").over(by_doc()), F.lit(True))}, f"coalesce(start_ms >= lag(start_ms) OVER {_W}, true) AS ordered")
+units_query("filter_speaker_change", lambda: {"next_speaker": F.lead("speaker").over(by_doc()), "both_conf": F.least("conf", F.lead("conf").over(by_doc())), "speaker": F.col("speaker")}, f"lead(speaker) OVER {_W} AS next_speaker, CASE WHEN lead(conf) OVER {_W} IS NULL THEN conf ELSE least(conf, lead(conf) OVER {_W}) END AS both_conf, speaker", "next_speaker <> speaker AND both_conf >= 75")
+units_query("filter_low_confidence", lambda: {"conf": F.col("conf"), "reason": F.when(F.col("text") == "error", "needs_review").when(F.col("conf") < 55, "low_confidence")}, "conf, CASE WHEN text = 'error' THEN 'needs_review' WHEN conf < 55 THEN 'low_confidence' END AS reason", "reason IS NOT NULL")
+units_query("fn_time_valid", lambda: {"valid": (F.col("start_ms") >= 0) & (F.col("end_ms") > F.col("start_ms"))}, "start_ms >= 0 AND end_ms > start_ms AS valid")
+units_query("win_sequence_number_check", lambda: {"contiguous": F.coalesce(F.col("idx") == F.lag("idx").over(by_doc()) + 1, F.col("idx") == 0)}, f"coalesce(idx = lag(idx) OVER {_W} + 1, idx = 0) AS contiguous")
+units_query("dq_ordered_index", lambda: {"ordered": F.coalesce(F.col("start_ms") >= F.lag("start_ms").over(by_doc()), F.lit(True))}, f"coalesce(start_ms >= lag(start_ms) OVER {_W}, true) AS ordered")
 
 
 @query(f"WITH {UNITS}, m AS (SELECT *, CASE WHEN text IS DISTINCT FROM lag(text) OVER {_W} THEN 1 ELSE 0 END AS b FROM units), r AS (SELECT *, sum(b) OVER {_W} AS run FROM m) SELECT doc_id, CAST(run AS BIGINT) AS run, text, min(start_ms) AS start_ms, max(end_ms) AS end_ms, count(*) AS n FROM r GROUP BY doc_id, run, text")
@@ -91,7 +55,7 @@ def win_context_halo(spark, sf_dir):
 
 @query(f"WITH {UNITS} SELECT doc_id, event_id, row_number() OVER (PARTITION BY doc_id ORDER BY start_ms, end_ms, event_id) - 1 AS position FROM units", "sort_cues")
 def sort_cues(spark, sf_dir):
-    return units(spark, sf_dir).select("doc_id", "event_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("start_ms", "end_ms", "event_id")) - 1).alias("position"))
+    return units(spark, sf_dir).select("doc_id", "event_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("start_ms", "end_ms", "event_id")) - 1).cast("long").alias("position"))
 
 
 QUERIES["project_reindex"], ORACLE_SQL["project_reindex"] = QUERIES["sort_cues"], ORACLE_SQL["sort_cues"]
@@ -180,7 +144,7 @@ _REV = "r AS (SELECT l_orderkey AS doc_id, l_partkey % 5 AS entity, l_returnflag
 
 def _revisions(spark, sf_dir):
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), (F.col("l_partkey") % 5).alias("entity"), (F.col("l_returnflag") == "R").alias("removed"), F.col("l_quantity").alias("body"), F.row_number().over(w).alias("rev"))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), (F.col("l_partkey") % 5).alias("entity"), (F.col("l_returnflag") == "R").alias("removed"), F.col("l_quantity").alias("body"), F.row_number().over(w).cast("long").alias("rev"))
 
 
 @query(f"WITH {_REV} SELECT doc_id, entity, body, rev FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, entity ORDER BY rev DESC) AS k FROM r) WHERE k = 1 AND NOT removed")
@@ -249,14 +213,14 @@ def join_ngram_overlap(spark, sf_dir):
     return grams("documents", "doc_id").join(grams("benchmark", "item_id"), "g").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
 
 
-@query("SELECT source, lang, count(*) AS n, sum(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, sum(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM documents LEFT JOIN labels USING (doc_id) GROUP BY GROUPING SETS ((source), (lang), (source, lang))")
+@query("SELECT source, lang, count(*) AS n, CAST(sum(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS BIGINT) AS good, CAST(sum(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS BIGINT) AS toxic FROM documents LEFT JOIN labels USING (doc_id) GROUP BY GROUPING SETS ((source), (lang), (source, lang))")
 def agg_corpus_counts(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang").join(table(spark, sf_dir, "labels"), "doc_id", "left")
     flag = lambda c: F.sum(F.when(F.col(c) == 1, 1).otherwise(0))
     return d.groupingSets([["source"], ["lang"], ["source", "lang"]], "source", "lang").agg(F.count("*").alias("n"), flag("quality").alias("good"), flag("toxic").alias("toxic"))
 
 
-@query("SELECT l_returnflag AS stage, count(*) AS calls, sum(CAST(l_quantity AS BIGINT)) AS prompt, sum(CAST(floor(l_tax * 100) AS BIGINT)) AS completion, round(sum(CAST(l_quantity AS BIGINT)) / CAST(count(*) AS DOUBLE), 6) AS per_call, sum(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) AS failed FROM lineitem GROUP BY 1")
+@query("SELECT l_returnflag AS stage, count(*) AS calls, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS prompt, CAST(sum(CAST(floor(l_tax * 100) AS BIGINT)) AS BIGINT) AS completion, round(sum(CAST(l_quantity AS BIGINT)) / CAST(count(*) AS DOUBLE), 6) AS per_call, CAST(sum(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS failed FROM lineitem GROUP BY 1")
 def agg_usage_summary(spark, sf_dir):
     q = F.sum(F.col("l_quantity").cast("long"))
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("stage")).agg(F.count("*").alias("calls"), q.alias("prompt"), F.sum(F.floor(F.col("l_tax") * 100)).alias("completion"), F.round(q / F.count("*"), 6).alias("per_call"), F.sum(F.when(F.col("l_linestatus") == "F", 1).otherwise(0)).alias("failed"))

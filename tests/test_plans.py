@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillstream.functions import text as fn
 from quillstream.operators import intervals
-from quillstream.plans.queries import ORACLE_SQL, QUERIES
+from quillstream.plans import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
