@@ -1,6 +1,6 @@
 """All queries over the driver's tables; importing a module registers its queries."""
 
-from . import queries, relations
+from . import editing, files, quality, queries, relations, streams
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "queries", "relations"]
+__all__ = ["ORACLE_SQL", "QUERIES", "editing", "files", "quality", "queries", "relations", "streams"]
