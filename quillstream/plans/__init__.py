@@ -1,6 +1,6 @@
 """All queries over the driver's tables; importing a module registers its queries."""
 
-from . import editing, files, quality, queries, relations, streams
+from . import editing, files, quality, queries, relations, scalars, streams
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "editing", "files", "quality", "queries", "relations", "streams"]
+__all__ = ["ORACLE_SQL", "QUERIES", "editing", "files", "quality", "queries", "relations", "scalars", "streams"]
