@@ -10,7 +10,7 @@ import duckdb
 import pytest
 import xxhash
 
-from quillstream.llm import decontaminate, html_text, imatch, language, licenses, line_dedup, mixing, queries, simhash, suffix_dedup, warc
+from quillstream.llm import decontaminate, html_text, imatch, language, licenses, line_dedup, mixing, near_sets, queries, simhash, suffix_dedup, warc
 from quillstream.llm.common import components
 from quillstream.llm.oracles import ORACLE_SQL
 
@@ -104,6 +104,43 @@ def test_simhash_brute_force(spark, docs, rows):
     assert simhash.near_duplicates(empty(spark)).count() == 0
 
 
+def test_pipeline_near_duplicates_of_five_words(spark, docs, rows):
+    """The stage keeps the smallest document of chains of similarity 0.8 or more over sets of five-word shingles."""
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    more = []
+    for _ in range(6):
+        base = [f"w{rng.randrange(500)}" for _ in range(rng.randint(40, 120))]
+        for _ in range(8):
+            own = list(base)
+            for _ in range(rng.randint(0, len(base) // 25)):
+                own[rng.randrange(len(own))] = f"x{rng.randrange(500)}"
+            more.append((5000 + len(more), " ".join(own), "en", "s0", 1, ""))
+    every = [*rows, *more]
+
+    def shingles(text):
+        w = (text or "").lower().split()
+        return frozenset(" ".join(w[i : i + 5]) for i in range(len(w) - 4)) or frozenset([" ".join(w)] * bool(w))
+
+    sets = [(r[0], shingles(r[1])) for r in every if r[0] is not None]
+    comp = {i: i for i, _ in sets}
+
+    def find(x):
+        while comp[x] != x:
+            x = comp[x]
+        return x
+
+    for i, a in sets:
+        for j, b in sets:
+            if a == b or len(a & b) >= 0.8 * len(a | b):
+                x, y = sorted((find(i), find(j)))
+                comp[y] = x
+    got = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(every, DOC), "").collect()}
+    assert got - {None} == {find(i) for i in comp} and len({find(r[0]) for r in more}) <= len(more) // 2
+    assert corpus_pipeline.drop_near_duplicates(spark, empty(spark), "").count() == 0
+
+
 def removed_by_force(rows):
     first: dict[bytes, int] = {}
     none = 2**63 - 1
