@@ -278,6 +278,14 @@ def test_lines(spark):
     assert line_dedup.report(empty(spark)).count() == 0
 
 
+def test_lines_repeated_exactly(spark):
+    """Exact repeats go whatever the words: short ones, few, parted by tabs or not at all. Each text's own line stays."""
+    lines = ["Released under the MIT License.", "a b c", "one\ttwo\tthree\tfour", "这是一行没有空格的文字", "これは日本語の行です", "copyrighted"]
+    rows = [(i, "\n".join([f"own line {i} stays", *lines, "", ""]), "", "", 0, "") for i in range(3)]
+    got = {r.doc_id: r.text for r in line_dedup.without_repeats(spark.createDataFrame(rows, DOC)).collect()}
+    assert got == {0: rows[0][1], 1: "own line 1 stays\n\n", 2: "own line 2 stays\n\n"}
+
+
 def test_lines_match_all_pairs(spark):
     """Groups equal those of all pairs of distinct lines that share two fingerprint blocks and are close in edit distance."""
     rng = random.Random(9)
