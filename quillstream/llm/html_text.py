@@ -25,28 +25,44 @@ NAMES = frozenset(
     "ad ads adsense advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus discussion feedback footer gdpr login menu modal nav navbar navigation newsletter notice notices notification outbrain pager pagination popup promo promoted promotion recommended related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe taboola toolbar widget widgets".split()
 )
 WHOLE = frozenset("html body main article".split())
+#: What may stand in head; anything else closes it, as its end tag may be left out.
+HEAD = frozenset("base link meta noscript script style template title head html".split())
+#: Names of comments, which are outside though they hold articles or most of the text.
+REMARKS = frozenset("comment comments discussion disqus replies reply respond".split())
 SIGMA = 1.5
 
 
 class _Events(HTMLParser):
-    """Turns parser events into blocks: [text parts, tags, characters in links, outside, containers]."""
+    """Turns parser events into blocks: [text parts, tags, characters in links, outside, containers, named].
+
+    named are the elements around the block that NAMES alone mark; ``holding`` has those that hold an article or main.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, int]] = []
-        self.blocks: list[tuple[str, int, int, bool, tuple[int, ...]]] = []
+        self.stack: list[tuple[str, bool, int, int]] = []
+        self.blocks: list[tuple[str, int, int, bool, tuple[int, ...], tuple[int, ...]]] = []
+        self.holding: set[int] = set()
+        self.remarks: set[int] = set()
+        self.alone = False
         self.parts: list[str] = []
         self.tags = self.linked = self.n = 0
 
     def flush(self) -> None:
         if text := " ".join("".join(self.parts).split()):
-            self.blocks.append((text, self.tags, self.linked, bool(self.stack) and self.stack[-1][1], tuple(x[2] for x in self.stack if x[2])))
+            self.blocks.append((text, self.tags, self.linked, bool(self.stack) and self.stack[-1][1], tuple(x[2] for x in self.stack if x[2]), self.named()))
             self.tags = 0
         self.parts.clear()
         self.linked = 0
 
+    def named(self) -> tuple[int, ...]:
+        return tuple(x[3] for x in self.stack if x[3])
+
+    def close_head(self) -> None:
+        self.close_to(max(k for k, x in enumerate(self.stack) if x[0] == "head"))
+
     def close_to(self, depth: int) -> None:
-        if any(x[0] in BLOCKS or x[1] for x in self.stack[depth:]):
+        if any(x[0] in BLOCKS or x[1] or x[3] for x in self.stack[depth:]):
             self.flush()
         del self.stack[depth:]
 
@@ -58,11 +74,15 @@ class _Events(HTMLParser):
             return True
         if tag in WHOLE:
             return False
-        named = re.split(r"[^a-z0-9]+", f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower())
         hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in (attrs.get("style") or "").replace(" ", "").lower()
-        return hidden or (attrs.get("role") or "").lower() in ROLES or not NAMES.isdisjoint(named)
+        return hidden or (attrs.get("role") or "").lower() in ROLES
+
+    def names(self, tag: str, attrs: dict) -> set[str]:
+        return set() if tag in WHOLE else NAMES.intersection(re.split(r"[^a-z0-9]+", f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower()))
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if self.stack and (self.stack[-1][0] == "head" and tag not in HEAD or tag == "body" and any(x[0] == "head" for x in self.stack)):
+            self.close_head()
         self.tags += 1
         if tag in BLOCKS:
             for k in range(len(self.stack) - 1, -1, -1):
@@ -76,11 +96,16 @@ class _Events(HTMLParser):
             if tag in ("br", "hr", "wbr"):
                 self.parts.append(" " if tag != "wbr" else "")
             return
-        out = self.outside(tag, dict(attrs))
-        if out and not (self.stack and self.stack[-1][1]):
+        out, names = self.outside(tag, dict(attrs)), self.names(tag, dict(attrs))
+        if (out or names) and not (self.stack and self.stack[-1][1]):
             self.flush()
         self.n += 1
-        self.stack.append((tag, out, self.n if tag in BLOCKS else 0))
+        if names & REMARKS:
+            self.remarks.add(self.n)
+        if tag in ("article", "main") and not out and self.remarks.isdisjoint(self.named()):
+            self.holding.update(self.named())
+            self.alone |= not self.named()
+        self.stack.append((tag, out, self.n if tag in BLOCKS else 0, self.n if names else 0))
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
@@ -92,6 +117,8 @@ class _Events(HTMLParser):
     def handle_data(self, data: str) -> None:
         if self.stack and self.stack[-1][0] in ("script", "style"):
             return
+        if self.stack and self.stack[-1][0] == "head" and data.strip():
+            self.close_head()
         self.parts.append(data)
         if any(x[0] == "a" for x in self.stack[-4:]):
             self.linked += len(data.strip())
@@ -116,10 +143,29 @@ def _threshold(smooth: np.ndarray) -> float:
     return min((low + high) / 2, smooth.mean())
 
 
+def _high(blocks: list[tuple], outside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Characters of each block, without links, and whether it is in the high cluster; if that has none, all blocks inside are."""
+    own = np.array([0 if out else max(len(b[0]) - b[2], 0) for b, out in zip(blocks, outside, strict=True)], dtype=float)
+    smooth = _smooth(own / np.array([max(b[1], 1) for b in blocks]))
+    high = (smooth >= _threshold(smooth)) & ~outside
+    return own, high if (own * high).sum() else ~outside
+
+
+def _freed(p: _Events, weight: np.ndarray) -> set[int]:
+    """Elements that NAMES mark but that hold the article: an article or main, or most of the high cluster's characters, where no article or main stands elsewhere."""
+    held: dict[int, float] = {}
+    for b, w in zip(p.blocks, weight, strict=True):
+        for c in b[5]:
+            held[c] = held.get(c, 0.0) + w
+    most = {c for c, w in held.items() if w > weight.sum() / 2}
+    return set() if p.alone else (p.holding | most) - p.remarks
+
+
 def extract(html: str) -> str:
     """The article's blocks joined by newlines; empty if there are none.
 
-    Blocks inside menus, headers, footers, sidebars, notices, adverts, forms and comments have ratio 0. The smoothed
+    Blocks inside menus, headers, footers, sidebars, notices, adverts, forms and comments have ratio 0; an element
+    that only its class or id marks isn't one of these if it holds the article or most of the text and no article or main stands elsewhere. The smoothed
     ratios are clustered; the content region is the smallest element that holds nine tenths of the high cluster's
     characters, and all its blocks that aren't outside belong to the text, short ones included.
     """
@@ -131,13 +177,13 @@ def extract(html: str) -> str:
     if not p.blocks:
         return ""
     outside = np.array([b[3] for b in p.blocks])
-    own = np.array([0 if b[3] else max(len(b[0]) - b[2], 0) for b in p.blocks], dtype=float)
+    if any(b[5] for b in p.blocks):
+        own, high = _high(p.blocks, outside)
+        freed = _freed(p, own * high)
+        outside |= np.array([not freed.issuperset(b[5]) for b in p.blocks])
     if outside.all():
         return ""
-    smooth = _smooth(own / np.array([max(b[1], 1) for b in p.blocks]))
-    high = (smooth >= _threshold(smooth)) & ~outside
-    if not (own * high).sum():
-        high = ~outside
+    own, high = _high(p.blocks, outside)
     weight = own * high if (own * high).sum() else high.astype(float)
     held: dict[int, float] = {}
     for b, w in zip(p.blocks, weight, strict=True):
@@ -145,7 +191,7 @@ def extract(html: str) -> str:
             held[c] = held.get(c, 0.0) + w
     # containers are numbered in page order, so of nested ones the innermost has the largest number
     region = max((c for c, w in held.items() if w >= 0.9 * weight.sum()), default=0)
-    return "\n".join(b[0] for b in p.blocks if not b[3] and (not region or region in b[4]))
+    return "\n".join(b[0] for b, out in zip(p.blocks, outside, strict=True) if not out and (not region or region in b[4]))
 
 
 def with_main_text(pages: DataFrame, column: str = "html", name: str = "_main") -> DataFrame:

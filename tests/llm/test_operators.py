@@ -374,6 +374,19 @@ def test_html():
     assert html_text.extract("<div>a<div>b</div>c</div>") == "a\nb\nc"
 
 
+def test_html_wrappers_and_open_head():
+    text = "<p>Lead text that goes on for a while so that there is more text than markup in it.</p><p>Another paragraph of the article with words enough to be its text.</p>"
+    want = "Lead text that goes on for a while so that there is more text than markup in it.\nAnother paragraph of the article with words enough to be its text."
+    menu = "<nav><a href=x>Home</a></nav><div class=sidebar><p>Side note.</p></div>"
+    for page in (f"<html><head><title>T</title><meta charset=x><body>{menu}{text}</html>", f"<head><title>T</title><style>p{{}}</style>{menu}<div>{text}</div>",
+                 f"<head><title>T</title><noscript><img src=x></noscript><body>{menu}<main>{text}</main>", f"<div class='has-sidebar'>{menu}<div>{text}</div></div>",
+                 f"<body><div id='content-sidebar-wrap'><article>{text}</article>{menu}</div>"):
+        assert html_text.extract(page) == want, page
+    assert html_text.extract("<head>plain words") == "plain words"
+    said = f"<div class='comments'><article>{text * 3}</article></div>"
+    assert html_text.extract(f"<div>{text}</div>{said}") == want
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = language.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
