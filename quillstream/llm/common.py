@@ -51,6 +51,12 @@ def saved_table(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that no column of the table has (names are compared without regard to case, as Spark does)."""
+    taken = {c.lower() for c in df.columns}
+    return next(x for x in (f"_{name}", *(f"_{name}_{k}" for k in range(len(taken) + 1))) if x.lower() not in taken)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
