@@ -452,6 +452,58 @@ def test_html_wrappers_and_open_head():
     assert html_text.extract(f"<div>{text}</div>{said}") == want
 
 
+LONG = "A long paragraph of the article that has many more characters than tags, as running text has."
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    ("<p>hello<![foo[bar]]></p>", "hello"),
+    ("<p>a <![CDATA[x]]> b <!x> c <?y z> d</p>", "a b c d"),
+    (f"<article><h2>Head</h2><div class='body'><p>{LONG}</p></div><p>Closing line.</p></article>", f"Head\n{LONG}\nClosing line."),
+    (f"<body><nav>Menu</nav><h1>Title</h1><div class='story'><p>{LONG}</p><p>{LONG}</p></div></body>", f"Title\n{LONG}\n{LONG}"),
+    (f"<body><h1>Title</h1><article><p>{LONG}</p></article><p>Not of it.</p></body>", f"Title\n{LONG}"),
+    (f"<article><p class='social-history'>Social.</p><div class='share-price'>Up.</div><p id='notice'>{LONG}</p></article>", f"Social.\nUp.\n{LONG}"),
+    (f"<article><p>One <script>var x='</p>';</script>two <style>p{{}}</style>three. {LONG}</p></article>", f"One two three. {LONG}"),
+    (f"<body><title>Late title</title><p>{LONG}</p></body>", LONG),
+    (f"<form id='aspnetForm'><div class='main-nav'>Menu</div><div><p>{LONG}</p></div></form>", LONG),
+    (f"<article><p>{LONG}</p><p class='ad'>Buy.</p></article><div class='site-footer'>Foot</div><div id='cookie-notice'>{LONG}</div>", LONG),
+    (f"<p>{LONG}<button>Press</button> More.</p>", f"{LONG} More."),
+])
+def test_html_cases(page, want):
+    assert html_text.extract(page) == want
+
+
+def test_html_is_linear_in_depth():
+    import time
+
+    def took(page: str) -> float:
+        began = time.process_time()
+        html_text.extract(page)
+        return time.process_time() - began
+
+    for part in ("<div>a", "<b><p>x", "<div class=sidebar>a", "</b><i>x", "<a><li>x"):
+        took(part * 500)
+        assert took(part * 16000) < 40 * max(took(part * 1000), 0.01), part
+
+
+def test_html_ratios_by_force():
+    """Smoothing and clustering against plain sums over each block's neighbours and over all borders of two clusters."""
+    import math
+
+    import numpy as np
+
+    rng = random.Random(2)
+    for _ in range(20):
+        ratio = [rng.choice([0.0, rng.random() * 5, 20 + rng.random() * 100]) for _ in range(rng.randint(1, 30))]
+        reach = int(3 * html_text.SIGMA)
+        kernel = [math.exp(-0.5 * (k / html_text.SIGMA) ** 2) for k in range(-reach, reach + 1)]
+        want = [sum(kernel[j + reach] * ratio[min(max(i + j, 0), len(ratio) - 1)] for j in range(-reach, reach + 1)) / sum(kernel) for i in range(len(ratio))]
+        got = html_text._smooth(np.array(ratio))
+        assert np.allclose(got, want)
+        cut = html_text._threshold(got)
+        low, high = [x for x in want if x < cut], [x for x in want if x >= cut]
+        assert high and cut <= sum(want) / len(want) + 1e-9 and (not low or max(low) < min(high))
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = language.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
