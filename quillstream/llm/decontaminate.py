@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import heapq
-from collections import defaultdict
+import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,13 +16,12 @@ from . import common
 
 #: Words of a seed and of the shortest tile; share of an item's words that tiles must cover.
 WORDS, COVERAGE = 5, 0.5
-#: Characters of benchmark text that one pass over the documents carries.
-BENCH_BLOCK = 32_000_000
+#: Bits of the filter that keeps seeds of the documents that no item has from being shuffled, and bits of one of its parts.
+FILTER, PART = 1 << 22, 1 << 15
 #: Bytes of text that are hashed at once.
 CHUNK = 1 << 21
 
 _BASE, _STEP = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1
-_TABLE_BITS = 20
 
 
 def _byte_table() -> np.ndarray:
@@ -74,34 +74,25 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
     return g ^ (g >> np.uint64(31))
 
 
-class Bench:
-    """Items and the seeds they hold: the rolling hashes of WORDS words (of all words for shorter items)."""
-
-    def __init__(self, items: list[tuple[int, str]], n: int = WORDS):
-        self.ids = [i for i, _ in items]
-        h, cuts = word_hashes([(t or "").encode("utf-8", "surrogatepass") for _, t in items])
-        self.size = np.diff(cuts)
-        self.seeds: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        for k in range(len(items)):
-            own = h[cuts[k] : cuts[k + 1]]
-            if len(own):
-                for j, g in enumerate(grams(own, m := min(n, len(own))).tolist()):
-                    self.seeds[m][g].append((k, j))
-        self.seeds = {m: dict(s) for m, s in self.seeds.items()}
-        self.tables = {}
-        for m, s in self.seeds.items():
-            self.tables[m] = np.zeros(1 << _TABLE_BITS, dtype=bool)
-            self.tables[m][np.fromiter(s, dtype=np.uint64, count=len(s)) & np.uint64((1 << _TABLE_BITS) - 1)] = True
-
-    def hits(self, h: np.ndarray) -> dict[int, list[tuple[int, int, int]]]:
-        """By item: (place in the text, place in the item, words) of each shared seed."""
-        out: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-        for m, seeds in self.seeds.items():
-            g = grams(h, m)
-            for i in np.flatnonzero(self.tables[m][g & np.uint64((1 << _TABLE_BITS) - 1)]).tolist():
-                for k, j in seeds.get(int(g[i]), ()):
-                    out[k].append((i, j, m))
-        return out
+_PARTING = re.compile(rb"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
+
+
+def hashed_words(text: bytes, carry: int = WORDS - 1) -> Iterator[tuple[int, np.ndarray]]:
+    """(place of the first word, word hashes) of overlapping pieces of a text, which are cut between words.
+
+    Neighbouring pieces share ``carry`` words, so each run of carry + 1 words lies in one piece.
+    """
+    at, first, kept = 0, 0, np.zeros(0, dtype=np.uint64)
+    while at < len(text) or not first and not len(kept):
+        end = len(text)
+        if end - at > CHUNK and (cut := _PARTING.search(text, at + CHUNK)):
+            end = cut.start()
+        own = np.concatenate([kept, word_hashes([text[at:end]])[0]])
+        yield first, own
+        kept = own[max(0, len(own) - carry) :] if carry else own[:0]
+        first, at = first + len(own) - len(kept), end
+        if at >= len(text):
+            return
 
 
 def tiles(seeds: list[tuple[int, int, int]], item_words: int) -> list[tuple[int, int, int]]:
@@ -139,67 +130,100 @@ def tiles(seeds: list[tuple[int, int, int]], item_words: int) -> list[tuple[int,
     return out
 
 
-def _best(bench: Bench, h: np.ndarray) -> tuple[float, int | None, int]:
-    best: tuple[float, int | None, int] = (0.0, None, 0)
-    for k, seeds in bench.hits(h).items():
-        got = tiles(seeds, size := int(bench.size[k]))
-        share = sum(n for _, _, n in got) / size
-        if best[1] is None or (share, -bench.ids[k]) > (best[0], -best[1]):
-            best = (share, bench.ids[k], len(got))
-    return best
+def _seeds(bench: DataFrame, words: int) -> DataFrame:
+    """(g, m, item_id, j, size): the seeds of each item, runs of ``words`` words (of all words for shorter items), with their places."""
+    kind = bench.schema["item_id"].dataType
+    schema = T.StructType([T.StructField("g", T.LongType()), T.StructField("m", T.IntegerType()), T.StructField("item_id", kind), T.StructField("j", T.LongType()), T.StructField("size", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, text in enumerate(b.column(1).to_pylist()):
+                h = word_hashes([(text or "").encode("utf-8", "surrogatepass")])[0]
+                if len(h):
+                    g = grams(h, m := min(words, len(h)))
+                    yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(np.full(len(g), m, dtype=np.int32)), b.column(0).take(pa.array([k] * len(g), pa.int64())), pa.array(np.arange(len(g))), pa.array(np.full(len(g), len(h)))], names=schema.names)
+
+    return bench.where("item_id is not null").select("item_id", "text").distinct().mapInArrow(run, schema)
+
+
+def _filter(seeds: DataFrame) -> np.ndarray:
+    """A bit for each remainder of a seed's hash; FILTER / 8 bytes, whatever the benchmark's size."""
+    place = F.pmod(F.col("g"), F.lit(FILTER))
+    parts = seeds.groupBy(F.floor(place / PART).alias("part")).agg(F.bitmap_construct_agg(F.pmod(place, F.lit(PART))).alias("bits")).collect()
+    out = np.zeros((FILTER // PART, PART // 8), dtype=np.uint8)
+    for r in parts:
+        out[r.part] = np.frombuffer(bytes(r.bits), dtype=np.uint8)
+    return np.unpackbits(out.reshape(-1), bitorder="little").astype(bool)
+
+
+def _hits(docs: DataFrame, seeds: DataFrame, words: int) -> DataFrame:
+    """(doc_id, tag, g, m, i): the runs of words of the documents that may be seeds of an item, with their places."""
+    sizes = sorted(r.m for r in seeds.select("m").distinct().collect())  # WORDS values at most
+    shared = docs.sparkSession.sparkContext.broadcast(_filter(seeds)) if sizes else None
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *(T.StructField(n, k) for n, k in (("tag", T.LongType()), ("g", T.LongType()), ("m", T.IntegerType()), ("i", T.LongType())))])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in (whole.slice(k, common.SLICE) for k in range(0, whole.num_rows, common.SLICE)):
+                row, g, m, i = [], [], [], []
+                for k, text in enumerate(b.column(2).to_pylist()):
+                    for size in sizes:
+                        for first, h in hashed_words((text or "").encode("utf-8", "surrogatepass"), size - 1):
+                            own = grams(h, size)
+                            at = np.flatnonzero(shared.value[(own % np.uint64(FILTER)).astype(np.int64)])
+                            row.append(np.full(len(at), k)), g.append(own[at].view(np.int64)), m.append(np.full(len(at), size, dtype=np.int32)), i.append(at + first)
+                cat = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
+                take = pa.array(cat(row, np.int64))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(cat(g, np.int64)), pa.array(cat(m, np.int32)), pa.array(cat(i, np.int64))], names=schema.names)
 
-def _chunks(texts: list[bytes]):
-    own, size = [], 0
-    for t in texts:
-        if own and size + len(t) > CHUNK:
-            yield own
-            own, size = [], 0
-        own.append(t)
-        size += len(t)
-    if own:
-        yield own
+    return docs.select("doc_id", _tag().alias("tag"), "text").mapInArrow(run, schema)
 
 
-def with_coverage(docs: DataFrame, bench: DataFrame, column: str = "text") -> DataFrame:
-    """Append coverage (0 to 1), item_id and n_tiles of the benchmark item that tiles cover most (ties: smallest id).
+def _tag(text: Column | None = None) -> Column:
+    """What tells rows with one doc_id apart; null and empty texts are the same."""
+    return F.xxhash64(F.coalesce(F.col("text") if text is None else text, F.lit("")))
 
-    The benchmark is a stated query set: its size is measured, and blocks of at most about BENCH_BLOCK characters go
-    to the tasks, each in a pass of its own over all documents. Documents are never shuffled. Null or empty texts and
-    an empty benchmark give coverage 0; items without a word or id are never found.
+
+def coverages(docs: DataFrame, bench: DataFrame, words: int = WORDS) -> DataFrame:
+    """(doc_id, tag, coverage, item_id, n_tiles) of the item that tiles cover most (ties: smallest id), for documents that share a seed with one.
+
+    Seeds are joined on the hashes of their words; only those that pass a filter of fixed size leave the scan of the
+    documents. Each pair of a document and an item is tiled on its own. An item of fewer than ``words`` words is one
+    seed; items without a word or id are never found. Rows that are equal in doc_id and text count once.
     """
-    spark = docs.sparkSession
-    bench = bench.where("item_id is not null").select(F.col("item_id").cast("long"), common.text_or_empty().alias("text"))
-    size = bench.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // BENCH_BLOCK))
-    fields = [T.StructField("coverage", T.DoubleType()), T.StructField("item_id", T.LongType()), T.StructField("n_tiles", T.LongType())]
-    out = None
-    for k in range(blocks):
-        items = sorted((r.item_id, r.text) for r in bench.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect())
-        shared = spark.sparkContext.broadcast(items)
-
-        def score(texts: list[str], shared=shared, cache: dict = {}) -> list[pa.Array]:  # noqa: B006
-            if id(shared) not in cache:
-                cache.clear()
-                cache[id(shared)] = Bench(shared.value)
-            rows = []
-            for own in _chunks([t.encode("utf-8", "surrogatepass") for t in texts]):
-                h, cuts = word_hashes(own)
-                rows += [_best(cache[id(shared)], h[cuts[i] : cuts[i + 1]]) for i in range(len(own))]
-            c, i, n = zip(*rows, strict=True) if rows else ((), (), ())
-            return [pa.array(c, pa.float64()), pa.array(i, pa.int64()), pa.array(n, pa.int64())]
-
-        if out is None:
-            out = common.map_texts(docs, column, score, fields)
-        else:
-            new = [T.StructField(f"_{f.name}", f.dataType) for f in fields]
-            both = common.map_texts(out, column, score, new)
-            better = (F.col("_coverage") > F.col("coverage")) | ((F.col("_coverage") == F.col("coverage")) & (F.coalesce("_item_id", F.lit(2**62)) < F.coalesce("item_id", F.lit(2**62))))
-            out = both.select(*docs.columns, *[F.when(better, F.col(f"_{f.name}")).otherwise(F.col(f.name)).alias(f.name) for f in fields])
-    return out
+    seeds = common.saved_table(_seeds(bench, words))
+    n = seeds.count()
+    hits = _hits(docs, seeds, words).join(common.broadcast_if_small(seeds, n, 1_000_000), ["g", "m"])
+    # seeds that several rows of one doc_id and text give are the same
+    pairs = hits.groupBy("doc_id", "tag", "item_id", "size").agg(F.collect_set(F.struct("i", "j", "m")).alias("seeds"))
+    schema = T.StructType([pairs.schema["doc_id"], pairs.schema["tag"], pairs.schema["item_id"], T.StructField("coverage", T.DoubleType()), T.StructField("n_tiles", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = []
+            for size, own in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
+                found = tiles([(x["i"], x["j"], x["m"]) for x in own], size)
+                got.append((sum(k for _, _, k in found) / size, len(found)))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([x for x, _ in got], pa.float64()), pa.array([x for _, x in got], pa.int64())], names=schema.names)
+
+    tiled = pairs.mapInArrow(run, schema)
+    best = tiled.groupBy("doc_id", "tag").agg(F.min(F.struct((-F.col("coverage")).alias("less"), "item_id", "n_tiles")).alias("b"))
+    return best.select("doc_id", "tag", (-F.col("b.less")).alias("coverage"), F.col("b.item_id").alias("item_id"), F.col("b.n_tiles").alias("n_tiles"))
+
+
+def _same(d: str, f: str) -> Column:
+    return F.col(f"{d}.doc_id").eqNullSafe(F.col(f"{f}.doc_id")) & (_tag(F.col(f"{d}.text")) == F.col(f"{f}.tag"))
 
 
 def leaks(docs: DataFrame, bench: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """One row a document: doc_id, leaked, coverage, item_id, n_tiles."""
-    got = with_coverage(docs.select("doc_id", "text"), bench)
-    return got.select("doc_id", (F.col("coverage") >= coverage).alias("leaked"), F.round("coverage", 6).alias("coverage"), "item_id", "n_tiles")
+    """One row a document: doc_id, leaked, coverage (0 to 1), item_id and n_tiles; null or empty texts and an empty benchmark give coverage 0."""
+    found = common.saved_table(coverages(docs.select("doc_id", "text"), bench))
+    got = docs.select("doc_id", "text").alias("d").join(common.broadcast_if_small(found).alias("f"), _same("d", "f"), "left")
+    share = F.coalesce(F.col("f.coverage"), F.lit(0.0))
+    return got.select("d.doc_id", (share >= coverage).alias("leaked"), F.round(share, 6).alias("coverage"), F.col("f.item_id").alias("item_id"), F.coalesce("f.n_tiles", F.lit(0)).cast("long").alias("n_tiles"))
+
+
+def without_leaks(docs: DataFrame, bench: DataFrame, coverage: float = COVERAGE) -> DataFrame:
+    """The documents of which no item is covered by ``coverage`` or more; their columns, of any name, are as before."""
+    found = common.saved_table(coverages(docs.select("doc_id", "text"), bench).where(F.col("coverage") >= coverage).select("doc_id", "tag"))
+    return docs.alias("d").join(common.broadcast_if_small(found).alias("f"), _same("d", "f"), "left_anti")

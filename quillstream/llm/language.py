@@ -2,33 +2,42 @@
 
 from __future__ import annotations
 
-import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
 
-WORD = re.compile(r"[^\W\d_]+")
-#: Feature buckets; labelled documents to learn from, for each language and in all; training sequences and their words.
-BUCKETS, PER_LANGUAGE, MOST_DOCS, SEQUENCES, STEPS = 1 << 16, 250, 4000, 1600, 40
+#: Words are letters with their marks; longer runs (scripts without spaces) are parted into pieces of PIECE letters.
+WORD, PIECE = regex.compile(r"\p{L}[\p{L}\p{M}]*"), 24
+#: Feature buckets; labelled documents to learn from, for each language and in all, and characters of each; training sequences and their words.
+BUCKETS, PER_LANGUAGE, MOST_DOCS, LEARNED, SEQUENCES, STEPS = 1 << 16, 250, 4000, 20_000, 1600, 40
 ROUNDS, RATE, DECAY = 40, 0.3, 1e-4
 #: Words in a stretch of the chain, words after which a block is handled, and words whose features are remembered.
 STRETCH, BLOCK, REMEMBERED = 64, 100_000, 300_000
 UNKNOWN = "und"
 
 
+def words_of(text: str) -> list[str]:
+    out = []
+    for w in WORD.findall(text):
+        w = w.lower()
+        out += [w] if len(w) <= PIECE else [w[k : k + PIECE] for k in range(0, len(w), PIECE)]
+    return out
+
+
 def features(word: str) -> list[int]:
     """Buckets of a lower-cased word: the word itself (lexicon), affixes of one to four letters, inner bigrams and trigrams."""
     w = word.encode("utf-8", "surrogatepass")
     out = [b"w" + w]
     for k in (1, 2, 3, 4):
         out += [b"p" + word[:k].encode("utf-8", "surrogatepass"), b"s" + word[-k:].encode("utf-8", "surrogatepass")]
-    framed = f"^{word[:64]}$"
+    framed = f"^{word}$"
     for k in (2, 3):
         out += [b"n" + framed[i : i + k].encode("utf-8", "surrogatepass") for i in range(len(framed) - k + 1)]
     return [zlib.crc32(x) % BUCKETS for x in out]
@@ -115,7 +124,7 @@ class Crf:
 
         size = 0
         for k, text in enumerate(texts):
-            words = [w.lower() for w in WORD.findall(text)]
+            words = words_of(text)
             if words:
                 own.append(k)
                 found.append(words)
@@ -132,7 +141,7 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Crf:
     """Fit on (language, text): sequences of words that switch between languages, by gradients of the log-likelihood."""
     rng = np.random.default_rng(seed)
     labels = sorted({lang for lang, _ in rows})
-    by = {lang: [w for w in ([x.lower() for x in WORD.findall(t)] for own, t in rows if own == lang) if w] for lang in labels}
+    by = {lang: [w for w in (words_of(t) for own, t in rows if own == lang) if w] for lang in labels}
     labels = [lang for lang in labels if by[lang]]
     if len(labels) < 2:
         return Crf(labels, np.zeros((BUCKETS, len(labels))), np.zeros((len(labels), len(labels))))
@@ -190,21 +199,28 @@ def held_out() -> F.Column:
 
 
 def fit(docs: DataFrame) -> Crf:
-    """Learn from at most PER_LANGUAGE labelled documents of each language, drawn by a hash of the id, and MOST_DOCS in all."""
-    rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("k"))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_DOCS // 10).collect()
-    if not counts:
+    """Learn from a bounded sample of labelled documents, drawn by a hash of the id.
+
+    The first PER_LANGUAGE documents of each language stand in line, the first of every language before the second of
+    any, and MOST_DOCS in all are taken, so each language is learned. A stretch of at most LEARNED characters, its place drawn
+    by the hash too, is read of each. Ties are broken by the text's hash; equal rows are interchangeable.
+    """
+    rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    k, tag = F.xxhash64("doc_id", F.lit(3)), F.xxhash64("text")
+    order = Window.partitionBy("lang").orderBy("k", "tag")
+    first = rows.select("lang", k.alias("k"), tag.alias("tag")).withColumn("row", F.row_number().over(order)).where(F.col("row") <= PER_LANGUAGE)
+    # MOST_DOCS rows at most, so the broadcast is bounded
+    asked = F.broadcast(first.orderBy("row", "k", "lang", "tag").limit(MOST_DOCS).select("lang", "k", "tag").distinct())
+    at = F.pmod(k, F.greatest(F.length("text") - LEARNED, F.lit(0)) + 1).cast("int") + 1
+    own = rows.select("lang", k.alias("k"), tag.alias("tag"), F.substring("text", at, F.lit(LEARNED)).alias("text"))
+    got = own.join(asked, ["lang", "k", "tag"], "left_semi").orderBy("k", "lang", "text").limit(MOST_DOCS).collect()
+    if not got:
         return Crf([], np.zeros((BUCKETS, 0)), np.zeros((0, 0)))
-    each = min(PER_LANGUAGE, MOST_DOCS // len(counts))
-    cut = F.lit(False)
-    for r in counts:
-        cut = cut | ((F.col("lang") == r.lang) & (F.col("k") < int(min(1.0, each / r.n) * (1 << 30)) + 1))
-    got = rows.where(cut).orderBy("k", "lang", "text").limit(2 * MOST_DOCS).collect()
     return train([(r.lang, r.text) for r in got])
 
 
-def with_language(docs: DataFrame, model: Crf) -> DataFrame:
-    """Append _lang and _score to each document, from its text alone."""
+def with_language(docs: DataFrame, model: Crf, lang: str = "_lang", score: str = "_score") -> DataFrame:
+    """Append two columns, the language and its score, to each document, from its text alone. Their names must be new ones."""
     shared = docs.sparkSession.sparkContext.broadcast((model.labels, model.emit.astype(np.float32), model.move))
     state: dict = {}
 
@@ -214,7 +230,7 @@ def with_language(docs: DataFrame, model: Crf) -> DataFrame:
         got = state["crf"].classify(texts)
         return [pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())]
 
-    return common.map_texts(docs, "text", run, [T.StructField("_lang", T.StringType()), T.StructField("_score", T.DoubleType())])
+    return common.map_texts(docs, "text", run, [T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ def targets(totals: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: floa
 
 
 def mix(docs: DataFrame, size: Column, key: Column | None = None, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2) -> DataFrame:
-    """Columns of ``docs`` plus size, source_size, target and taken.
+    """Columns of ``docs`` plus size, source_size, target and taken; columns of these names (whatever their case) give way to the new ones.
 
     Each document has a hash (``key``, hex digits; by default of doc_id). Whole copies come first; what is left of a
     source's budget goes to its documents of the smallest hashes: a histogram of words by source and leading digits
@@ -47,8 +47,9 @@ def mix(docs: DataFrame, size: Column, key: Column | None = None, weights: tuple
     gives an empty one.
     """
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) if key is None else key
-    rows = docs.withColumn("size", size.cast("long")).withColumn("_key", F.substring(key, 1, DIGITS * LEVELS))
-    small = common.saved(rows.select("source", "size", "_key"))
+    n, k = common.fresh(docs, "size"), common.fresh(docs, "key")
+    rows = docs.withColumns({n: size.cast("long"), k: F.substring(key, 1, DIGITS * LEVELS)})
+    small = common.saved(rows.select("source", F.col(n).alias("size"), F.col(k).alias("_key")))
     goals = targets(small.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     whole = F.floor(F.col("target") / F.greatest(F.col("source_size"), F.lit(1)))
     goals = common.saved(goals.withColumn("_whole", F.least(whole, F.lit(most))).withColumn("_left", F.col("target") - F.col("_whole") * F.col("source_size")))
@@ -67,10 +68,11 @@ def mix(docs: DataFrame, size: Column, key: Column | None = None, weights: tuple
             "o.source", F.coalesce("f.b._room", "o._room").alias("_room"), F.coalesce(F.col("f.b._prefix"), F.concat("o._prefix", F.lit("g"))).alias("_prefix")))
     cuts = common.broadcast_if_small(goals.alias("g").join(open_.alias("c"), F.col("g.source").eqNullSafe(F.col("c.source"))).select("g.*", F.col("c._prefix").alias("_cut")), goals.count())
     out = rows.alias("r").join(cuts.alias("c"), F.col("r.source").eqNullSafe(F.col("c.source")))
-    once = F.col("_key") < F.col("_cut")
-    copies = F.col("_whole") + F.when((F.col("_left") > 0) & once, 1).otherwise(0)
-    taken = (F.least(copies, F.lit(most)) * F.col("size")).cast("long")
-    return out.select(*[F.col(f"r.`{c}`") for c in docs.columns], F.col("size"), F.col("source_size"), F.col("target"), taken.alias("taken"))
+    once = F.col(f"r.{k}") < F.col("c._cut")
+    copies = F.col("c._whole") + F.when((F.col("c._left") > 0) & once, 1).otherwise(0)
+    taken = (F.least(copies, F.lit(most)) * F.col(f"r.{n}")).cast("long")
+    added = {"size": F.col(f"r.{n}"), "source_size": F.col("c.source_size"), "target": F.col("c.target"), "taken": taken}
+    return out.select(*[F.col(f"r.`{c}`") for c in docs.columns if c.lower() not in added], *[c.alias(x) for x, c in added.items()])
 
 
 def word_count(name: str = "text") -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -19,9 +20,11 @@ from . import common
 
 MAGIC = b"\x1f\x8b\x08"
 #: Bytes of a range that one task scans, and bytes read at once.
-RANGE, READ = 16 << 20, 1 << 20
+RANGE, READ, SLICE = 16 << 20, 1 << 20, 1 << 16
 URN = "urn:page:"
-_SCHEMA = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("record_type", T.StringType()), T.StructField("refers_to", T.LongType()),
+#: The type of a row that stands for a damaged member.
+DAMAGED = "damaged"
+_SCHEMA = T.StructType([T.StructField("record_id", T.StringType()), T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("record_type", T.StringType()), T.StructField("refers_to", T.LongType()),
                         T.StructField("payload_digest", T.StringType()), T.StructField("payload_bytes", T.LongType()), T.StructField("payload", T.BinaryType())])
 
 
@@ -46,14 +49,15 @@ def _member(page_id: int | None, url: str | None, html: str, digest: str, refers
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + (payload if refers is None else b"")
     uri = "".join(c for c in url or "" if c not in "\r\n")
+    name = lambda i: f"<{URN}{'' if i is None else i}:{b32}>"
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers is None else 'revisit'}",
-        f"WARC-Record-ID: <{URN}{'' if page_id is None else page_id}>",
+        f"WARC-Record-ID: {name(page_id)}",
         *([f"WARC-Target-URI: {uri}"] if url is not None else []),
         "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Payload-Digest: sha1:{b32}",
-        *([] if refers is None else [f"WARC-Refers-To: <{URN}{refers}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]),
+        *([] if refers is None else [f"WARC-Refers-To: {name(refers)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]),
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(block)}",
     ]
@@ -82,97 +86,145 @@ def ranges(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
     return cut.repartition(max(1, min(cut.count(), 10_000)), "path", "first")
 
 
+class Damaged(ValueError):
+    """A member that begins as a WARC record but can't be decoded, or bytes between members that belong to none."""
+
+
 class _Source:
-    """A file's bytes from a position on, read in blocks."""
+    """A file's bytes from a position on, read in blocks; ``at`` is the position of the next byte that isn't used yet."""
 
     def __init__(self, file, at: int):
-        self.file, self.at, self.buf = file, at, b""
+        self.file, self.at, self.buf, self.pos = file, at, b"", 0
         file.seek(at)
 
     def more(self) -> bool:
         got = self.file.read(READ)
-        self.buf += got
+        self.buf, self.pos = (self.buf[self.pos :] + got if self.pos < len(self.buf) else got), 0
         return bool(got)
 
     def skip(self, n: int) -> None:
-        self.buf, self.at = self.buf[n:], self.at + n
+        self.pos, self.at = self.pos + n, self.at + n
 
     def find(self, last: int) -> bool:
         """Move to the next gzip magic that starts before ``last``."""
         while self.at < last:
-            k = self.buf.find(MAGIC)
+            k = self.buf.find(MAGIC, self.pos)
             if k >= 0:
-                self.skip(k)
+                self.skip(k - self.pos)
                 return self.at < last
-            self.skip(max(0, len(self.buf) - 2))
+            self.skip(max(0, len(self.buf) - self.pos - 2))
             if not self.more():
                 return False
         return False
 
+    def stands_at_member(self) -> bool:
+        """Whether a gzip magic or the file's end stands here."""
+        while len(self.buf) - self.pos < len(MAGIC) and self.more():
+            pass
+        return self.buf[self.pos : self.pos + len(MAGIC)] in (MAGIC, b"")
+
     def member(self) -> bytes | None:
-        """The member that starts here, decoded, after which this stands; None if these bytes aren't one of a WARC file."""
-        z, out, used = zlib.decompressobj(31), [], 0
-        data = self.buf
-        try:
-            while True:
-                out.append(z.decompress(data))
-                used += len(data) - len(z.unused_data)
-                if len(out) == 1 and out[0] and not out[0].startswith(b"WARC/"[: len(out[0])]):
-                    return None
-                if z.eof:
-                    break
-                known = len(self.buf)
-                if not self.more():
+        """The member that starts here, decoded, after which this stands; None if these bytes aren't one of a WARC file.
+
+        Bytes are kept for another try only until the record's first bytes are known, so a large record costs its size.
+        """
+        z, out, ours, used = zlib.decompressobj(31), [], False, 0
+        while True:
+            data = self.buf[self.pos + used : self.pos + used + SLICE]
+            if not data:
+                if ours:
+                    self.skip(used)
+                    used = 0
+                if self.more():
+                    continue
+                if ours:
+                    raise Damaged(f"the record before byte {self.at} is cut off")
+                return None
+            try:
+                got = z.decompress(data)
+            except zlib.error as e:
+                if ours:
+                    self.skip(used + 1)
+                    raise Damaged(f"the record before byte {self.at} can't be decoded: {e}") from e
+                return None
+            used += len(data) - len(z.unused_data)
+            out.append(got)
+            if not ours:
+                head = b"".join(out)
+                if head and not head.startswith(b"WARC/"[: len(head)]):
                     return None
-                data = self.buf[known:]
-        except zlib.error:
-            return None
-        self.skip(used)
-        return b"".join(out)
+                ours = len(head) >= 5
+            if z.eof:
+                self.skip(used)
+                return b"".join(out)
+
+
+def _page(name: str) -> int | None:
+    own = name.strip("<>").removeprefix(URN).partition(":")[0] if name.strip("<>").startswith(URN) else ""
+    return int(own) if re.fullmatch(r"-?[0-9]{1,19}", own) else None
 
 
 def parse(record: bytes) -> tuple:
+    """record_id, page_id, url, type, refers_to, digest, size and payload; the ids are null unless this writer named the record.
+
+    The payload of an HTTP message is what follows its headers, of any other record the block.
+    """
     head, _, rest = record.partition(b"\r\n\r\n")
-    lines = head.decode("utf-8", "surrogatepass").split("\r\n")
+    lines = head.decode("utf-8", "surrogateescape").split("\r\n")
     own = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-    http, _, body = rest[: int(own["content-length"])].partition(b"\r\n\r\n")
-    sizes = [int(x.partition(b":")[2]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
-    page = own["warc-record-id"].strip("<>").removeprefix(URN)
-    refers = own.get("warc-refers-to", "").strip("<>").removeprefix(URN)
-    kind = own["warc-type"]
-    if kind == "response":
-        digest, size = base64.b32encode(hashlib.sha1(body).digest()).decode(), len(body)
+    size = own.get("content-length", "")
+    block = rest[: int(size)] if size.isascii() and size.isdigit() else rest.removesuffix(b"\r\n\r\n")
+    http, _, body = block.partition(b"\r\n\r\n") if own.get("content-type", "").startswith("application/http") else (b"", b"", block)
+    kind = own.get("warc-type", "unknown")
+    if kind == "revisit":
+        sizes = [x.partition(b":")[2].strip() for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
+        digest, length, body = own.get("warc-payload-digest", "").removeprefix("sha1:"), int(sizes[0]) if sizes and sizes[0].isdigit() else 0, None
     else:
-        digest, size, body = own.get("warc-payload-digest", "").removeprefix("sha1:"), sizes[0] if sizes else 0, None
-    return int(page) if page else None, own.get("warc-target-uri"), kind, int(refers) if refers else None, digest, size, body
+        digest, length = base64.b32encode(hashlib.sha1(body).digest()).decode(), len(body)
+    name = own.get("warc-record-id", "").strip("<>")
+    clean = lambda x: x if x is None else x.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
+    return clean(name) or None, _page(name), clean(own.get("warc-target-uri")), clean(kind), _page(own.get("warc-refers-to", "")), clean(digest), length, body
 
 
 def records(path: str, first: int, last: int) -> Iterator[tuple]:
-    """The records whose member starts in [first, last). A candidate that doesn't decode to a WARC header is passed over."""
+    """The records whose member starts in [first, last). A candidate that doesn't decode to a WARC header is passed over.
+
+    Damage gives a row of type DAMAGED: a record that breaks off or can't be decoded, or bytes after a record that are no member.
+    """
     store, name = fs.FileSystem.from_uri(path)
     with store.open_input_file(name) as file:
         src = _Source(file, first)
         while src.find(last):
-            got = src.member()
-            if got is None:
-                src.skip(1)
-            elif got:
-                yield parse(got)
-
-
-def read(spark: SparkSession, path: str, size: int = RANGE, payload: bool = True) -> DataFrame:
-    """Records of all archives under a path: page_id, url, record_type, refers_to, payload_digest, payload_bytes, payload.
-
-    Digest and length of a response are taken from the payload itself, of a revisit from its headers. The path must be
-    one that pyarrow's file systems open in the tasks (file, hdfs, s3, gs).
+            try:
+                got = src.member()
+                if got is None:
+                    src.skip(1)
+                    continue
+                if got:
+                    yield parse(got)
+                if not src.stands_at_member():
+                    raise Damaged(f"bytes from {src.at} on belong to no member")
+            except Damaged as e:
+                yield None, None, f"{path}: {e}", DAMAGED, None, None, 0, None
+
+
+def read(spark: SparkSession, path: str, size: int = RANGE, payload: bool = True, damaged: str = "fail") -> DataFrame:
+    """Records of all archives under a path: record_id, page_id, url, record_type, refers_to, payload_digest, payload_bytes, payload.
+
+    Archives of other writers may hold records of any type and name; page_id and refers_to are null for these. Digest and
+    length are taken from the payload itself, of a revisit from its headers. Damaged members fail the job unless
+    ``damaged`` is "keep": then each is a row of type DAMAGED whose url says where. The path must be one that pyarrow's
+    file systems open in the tasks (file, hdfs, s3, gs).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary())])
+        schema = pa.schema([("record_id", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary())])
         rows, held = [], 0
         for b in batches:
             for r in b.to_pylist():
                 for x in records(r["path"], r["first"], r["last"]):
+                    if x[3] == DAMAGED and damaged != "keep":
+                        raise Damaged(x[2])
                     rows.append(x if payload else (*x[:-1], None))
                     held += len(rows[-1][-1] or b"") + 200
                     if held > 8 << 20:

@@ -251,6 +251,7 @@ def test_warc_ranges_and_rivals(spark, tmp_path):
     df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
     warc.write(df, str(tmp_path / "w"))
     whole = warc.read(spark, f"file://{tmp_path}/w").collect()
+    assert len({r.record_id for r in whole if r.page_id is not None}) == len({(r.page_id, r.payload_digest) for r in whole if r.page_id is not None})
     small = warc.read(spark, f"file://{tmp_path}/w", size=777).collect()
     key = lambda r: (str(r.page_id), r.record_type, r.payload_digest)
     assert len(whole) == len(pages) and sorted(whole, key=key) == sorted(small, key=key)
@@ -264,6 +265,31 @@ def test_warc_ranges_and_rivals(spark, tmp_path):
     assert warc.round_trip(df.where("false")).count() == 0
 
 
+def test_foreign_and_damaged_archives(spark, tmp_path):
+    import gzip
+
+    def member(kind: str, block: bytes, more: str = "", name: str = "urn:uuid:8f5e6c1a") -> bytes:
+        return gzip.compress(f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <{name}>\r\n{more}\r\n".encode() + block + b"\r\n\r\n")
+
+    rng = random.Random(1)
+    page = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n" + bytes(rng.randrange(256) for _ in range(3_000_000))
+    http = lambda b: f"Content-Type: application/http; msgtype=response\r\nContent-Length: {len(b)}\r\n"
+    records = [member("warcinfo", b"software: x", "Content-Length: 11\r\n"), member("request", b"GET / HTTP/1.1\r\n\r\n", http(b"GET / HTTP/1.1\r\n\r\n")), member("response", page, http(page), "urn:page:7:X"), member("metadata", b"no length")]
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.warc.gz").write_bytes(b"".join(records))
+    for size in (1 << 24, 100_000):
+        got = {r.record_type: r for r in warc.read(spark, f"file://{tmp_path}/a", size).collect()}
+        assert {k: (r.page_id, r.payload_bytes) for k, r in got.items()} == {"warcinfo": (None, 11), "request": (None, 0), "response": (7, 3_000_000), "metadata": (None, 9)}
+        assert bytes(got["response"].payload) == page[len(page) - 3_000_000 :] and got["warcinfo"].record_id == "urn:uuid:8f5e6c1a"
+    for k, broken in enumerate([b"".join(records)[:-9], records[0] + records[2][:1_000_000] + b"!" + records[2][1_000_001:] + records[3], records[0] + b"junk" + records[3]]):
+        (tmp_path / f"b{k}").mkdir()
+        (tmp_path / f"b{k}" / "x.warc.gz").write_bytes(broken)
+        kept = warc.read(spark, f"file://{tmp_path}/b{k}", payload=False, damaged="keep").collect()
+        assert sum(r.record_type == warc.DAMAGED for r in kept) >= 1 and {r.record_type for r in kept} >= {"warcinfo"}
+        with pytest.raises(Exception, match="Damaged|decoded|cut off|no member"):
+            warc.read(spark, f"file://{tmp_path}/b{k}").collect()
+
+
 def test_lines(spark):
     a = "the quick brown fox jumps over the lazy dog and runs away into the dark green forest again"
     near = a.replace("forest", "forests")
@@ -399,28 +425,71 @@ def test_similar_is_edit_distance(spark):
     assert [r.s for r in sorted(got)] == [True, False, False, True, True, True, False]
 
 
-def test_tiles():
-    items = [(7, "alpha beta gamma delta epsilon zeta eta theta iota kappa"), (8, "short item"), (9, ""), (3, "alpha beta gamma delta epsilon zeta eta theta iota kappa")]
-    bench = decontaminate.Bench(items)
-    h = lambda t: decontaminate.word_hashes([t.encode()])[0]
-    assert decontaminate._best(bench, h("x Alpha, beta gamma delta EPSILON zeta eta theta iota kappa y")) == (1.0, 3, 1)
-    assert decontaminate._best(bench, h("zeta eta theta iota kappa and then alpha beta gamma delta epsilon"))[0] == 1.0
-    assert decontaminate._best(bench, h("alpha beta gamma delta epsilon alpha beta gamma delta epsilon"))[0] == 0.5
-    assert decontaminate._best(bench, h("a short item here"))[:2] == (1.0, 8)
-    assert decontaminate._best(bench, h("")) == (0.0, None, 0)
+ITEM = "item_id long, text string"
+
+
+def test_tiles(spark):
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    bench = spark.createDataFrame([(7, words), (8, "short item"), (9, ""), (3, words), (None, "x"), (50, None), (3, words)], ITEM)
+    texts = ["x Alpha, beta gamma delta EPSILON zeta eta theta iota kappa y", "zeta eta theta iota kappa and then alpha beta gamma delta epsilon", "alpha beta gamma delta epsilon alpha beta gamma delta epsilon",
+             "a short item here", "", None, "x"]
+    docs = spark.createDataFrame([(i, t, "clash", 1.0) for i, t in enumerate(texts)] + [(None, texts[0], "", 0.0), (0, texts[0], "", 0.0), (0, "other", "", 0.0)], "doc_id long, text string, item_id string, coverage double")
+    got = [(r.doc_id, r.leaked, r.coverage, r.item_id, r.n_tiles) for r in decontaminate.leaks(docs, bench).collect()]
+    want = [(0, True, 1.0, 3, 1), (1, True, 1.0, 3, 2), (2, True, 0.5, 3, 1), (3, True, 1.0, 8, 1), (4, False, 0.0, None, 0), (5, False, 0.0, None, 0), (6, False, 0.0, None, 0),
+            (None, True, 1.0, 3, 1), (0, True, 1.0, 3, 1), (0, False, 0.0, None, 0)]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    kept = decontaminate.without_leaks(docs, bench)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [0, 4, 5, 6]
     assert decontaminate.tiles([(0, 0, 3), (1, 1, 3), (5, 1, 3), (6, 2, 3), (7, 3, 3)], 8) == [(5, 1, 5)]
+    names = bench.select(bench.item_id.cast("string").alias("item_id"), "text")
+    assert {r.item_id for r in decontaminate.leaks(docs, names).collect()} == {"3", "8", None}
+    assert decontaminate.leaks(docs, bench.where("false")).where("leaked").count() == 0 and decontaminate.leaks(docs.where("false"), bench).count() == 0
+
+
+def covered_by_force(text: str, item: str, least: int = 5) -> float:
+    """Greedy string tiling as it is defined: look through all places for the longest match of unmarked words, mark it, and again."""
+    split = lambda t: re.findall("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    a, b = split(text), split(item)
+    least, free_a, free_b = min(least, len(b)), [True] * len(a), [True] * len(b)
+    while b:
+        best = (0, 0, 0)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                n = 0
+                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and free_a[i + n] and free_b[j + n]:
+                    n += 1
+                if n > best[0]:
+                    best = (n, i, j)
+        if best[0] < max(least, 1):
+            break
+        n, i, j = best
+        free_a[i : i + n], free_b[j : j + n] = [False] * n, [False] * n
+    return free_b.count(False) / len(b) if b else 0.0
 
 
-def test_leaks_in_blocks(spark, monkeypatch):
+def test_leaks_by_force(spark, monkeypatch):
     rng = random.Random(4)
-    items = [(i, " ".join(f"w{rng.randrange(90)}" for _ in range(30))) for i in range(20)] + [(None, "x"), (50, None)]
-    rows = [(i, items[i % 20][1] if i % 4 == 0 else " ".join(f"v{rng.randrange(90)}" for _ in range(50))) for i in range(60)] + [(None, None), (61, "")]
-    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    one = sorted(map(str, decontaminate.leaks(docs, bench).collect()))
-    monkeypatch.setattr(decontaminate, "BENCH_BLOCK", 500)
-    assert sorted(map(str, decontaminate.leaks(docs, bench).collect())) == one
-    assert {r.doc_id for r in decontaminate.leaks(docs, bench).where("leaked").collect()} == set(range(0, 60, 4))
-    assert decontaminate.leaks(docs, bench.where("false")).where("leaked").count() == 0
+    items = [(i, " ".join(f"w{rng.randrange(60)}" for _ in range(rng.choice([3, 8, 30])))) for i in range(12)]
+    rows = []
+    for i in range(40):
+        words = [f"v{rng.randrange(60)}" for _ in range(50)]
+        for _ in range(rng.randrange(4)):
+            own = items[rng.randrange(12)][1].split()
+            x, at = rng.randrange(len(own)), rng.randrange(len(words))
+            words[at:at] = own[x : x + rng.randint(1, 20)]
+        rows.append((i, ", ".join(words)))
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, ITEM)
+    want = {}
+    for i, text in rows:
+        share = [(covered_by_force(text, t), -k) for k, t in items]
+        want[i] = round(max(share)[0], 6)
+    got = {r.doc_id: r.coverage for r in decontaminate.leaks(docs, bench).collect()}
+    assert got == want and sum(x >= 0.5 for x in want.values()) > 5
+    monkeypatch.setattr(decontaminate, "CHUNK", 40)
+    for size in (1, 3, 5):
+        whole = decontaminate.word_hashes([rows[0][1].encode()])[0]
+        pieces = [(f + k, g) for f, h in decontaminate.hashed_words(rows[0][1].encode(), size - 1) for k, g in enumerate(decontaminate.grams(h, size).tolist())]
+        assert pieces == list(enumerate(decontaminate.grams(whole, size).tolist()))
 
 
 PAGE = """<html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><header><h1>Site</h1></header><nav><ul><li><a href=x>Home</a></li></ul></nav>
@@ -508,7 +577,8 @@ def test_language_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = language.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert sum(r.lang_pred == r.lang for r in got) / len(got) > 0.97
-    rows = [(0, "the and with", "en", "", 0, ""), (1, None, "fr", "", 0, ""), (2, "123 !", "en", "", 0, ""), (None, "le la", None, "", 0, "")]
+    assert language.words_of("Été² x_3 हिन्दी ٣") == ["été", "x", "हिन्दी"] and max(map(len, language.words_of("字" * 1000))) <= language.PIECE
+    rows = [(0, "the and with", "en", "", 0, ""), (1, None, "fr", "", 0, ""), (2, "123 ! ²", "en", "", 0, ""), (None, "le la", None, "", 0, "")]
     small = spark.createDataFrame(rows, DOC)
     assert {(r.doc_id, r.lang_pred) for r in language.identify(small).collect()} >= {(1, "und"), (2, "und"), (0, "en")}
     assert language.identify(empty(spark)).count() == 0
