@@ -14,16 +14,13 @@ _FUNCTIONS = {
     "fn_english_dominant": (lambda c: F.regexp_count(c, F.lit("[A-Za-z]")) >= F.greatest(F.lit(1), F.regexp_count(c, F.lit(r"[\x{3400}-\x{9FFF}]"))), r"len(regexp_extract_all(text, '[A-Za-z]')) >= greatest(1, len(regexp_extract_all(text, '[\x{3400}-\x{9FFF}]')))"),
     "fn_format_text": (lambda c: F.md5(F.trim(F.regexp_replace(c, r"\s+", " ")).cast("binary")), r"md5(trim(regexp_replace(text, '\s+', ' ', 'g')))"),
     "fn_normalized_chars": (lambda c: F.md5(F.regexp_replace(F.lower(c), r"[^0-9a-z\x{3400}-\x{9FFF}]", "").cast("binary")), r"md5(regexp_replace(lower(text), '[^0-9a-z\x{3400}-\x{9FFF}]', '', 'g'))"),
-    "fn_unpunctuated_word": (lambda c: F.regexp_replace(F.regexp_extract(c, r"^\s*([^\s]+)", 1), r"^[.,;:!?\"'()]+|[.,;:!?\"'()]+$", ""), r"""regexp_replace(regexp_extract(text, '^\s*([^\s]+)', 1), '^[.,;:!?"''()]+|[.,;:!?"''()]+$', '', 'g')"""),
     "fn_trailing_punct": (lambda c: F.regexp_extract(c, r"([.,;:!?]*)\s*$", 1), r"regexp_extract(text, '([.,;:!?]*)\s*$', 1)"),
     "fn_calibration_signature": (lambda c: F.concat_ws("|", F.md5(F.lower(c).cast("binary")), F.md5(F.regexp_replace(c, "[.,;:!?]", "").cast("binary"))), "md5(lower(text)) || '|' || md5(regexp_replace(text, '[.,;:!?]', '', 'g'))"),
     "fn_split_sentences": (lambda c: F.regexp_count(c, F.lit(r"[.!?]+(\s|$)")).cast("long"), r"CAST(len(regexp_extract_all(text, '[.!?]+(\s|$)')) AS BIGINT)"),
     "fn_clean_text": (lambda c: F.md5(F.substring(F.trim(F.regexp_replace(c, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "")), 1, 500).cast("binary")), r"md5(substr(trim(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g')), 1, 500))"),
-    "fn_remove_grouping_commas": (lambda c: F.md5(F.regexp_replace(F.regexp_replace(c, r"(\d),(\d{3})\b", "$1$2"), r"(\d),(\d{3})\b", "$1$2").cast("binary")), r"md5(regexp_replace(regexp_replace(text, '(\d),(\d{3})\b', '\1\2', 'g'), '(\d),(\d{3})\b', '\1\2', 'g'))"),
     "fn_escape_ass": (lambda c: F.md5(F.regexp_replace(F.regexp_replace(c, r"([{}])", r"\\$1"), "\n", r"\\N").cast("binary")), r"md5(replace(regexp_replace(text, '([{}])', '\\\1', 'g'), chr(10), '\N'))"),
     "filter_hotword_valid": (lambda c: F.when(c.rlike(r"[^\x00-\x7F]"), F.length(c) <= 15).otherwise(F.regexp_count(c, F.lit(r"[^\s]+")) <= 7), r"CASE WHEN regexp_matches(text, '[^\x00-\x7F]') THEN length(text) <= 15 ELSE len(regexp_extract_all(text, '[^\s]+')) <= 7 END"),
     "filter_unsupported_symbol": (lambda c: c.rlike(r"[\x{2190}-\x{21FF}\x{2600}-\x{27BF}]"), r"regexp_matches(text, '[\x{2190}-\x{21FF}\x{2600}-\x{27BF}]')"),
-    "fn_incomplete_cut": (lambda c: F.lower(F.trim(c)).rlike(r"\b(a|an|the|of|to|and|or)$"), r"regexp_matches(lower(trim(text)), '\b(a|an|the|of|to|and|or)$')"),
 }
 for _name, (_f, _sql) in _FUNCTIONS.items():
 
