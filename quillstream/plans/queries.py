@@ -58,7 +58,6 @@ def sort_cues(spark, sf_dir):
     return units(spark, sf_dir).select("doc_id", "event_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("start_ms", "end_ms", "event_id")) - 1).cast("long").alias("position"))
 
 
-QUERIES["project_reindex"], ORACLE_SQL["project_reindex"] = QUERIES["sort_cues"], ORACLE_SQL["sort_cues"]
 
 
 @query(f"WITH {UNITS}, i AS (SELECT * FROM units WHERE start_ms < end_ms), m AS (SELECT *, CASE WHEN start_ms <= max(end_ms) OVER w THEN 0 ELSE 1 END AS b FROM i WINDOW w AS (PARTITION BY doc_id ORDER BY start_ms, end_ms, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), g AS (SELECT *, sum(b) OVER (PARTITION BY doc_id ORDER BY start_ms, end_ms, event_id) AS k FROM m) SELECT doc_id, min(start_ms) AS start_ms, max(end_ms) AS end_ms FROM g GROUP BY doc_id, k")
@@ -176,7 +175,6 @@ def ver_diff(spark, sf_dir):
     return j.where(changed).select("p_partkey", F.when(F.col("a.p_name").isNull(), "remove").otherwise("upsert").alias("op"), F.col("a.p_size").alias("p_size"))
 
 
-QUERIES["join_full_outer_diff"], ORACLE_SQL["join_full_outer_diff"] = QUERIES["ver_diff"], ORACLE_SQL["ver_diff"]
 
 
 @query("SELECT doc_id, count(*) AS n FROM (SELECT l_orderkey AS doc_id, l_linenumber AS k, count(*) AS c FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1) GROUP BY doc_id")
@@ -308,7 +306,6 @@ def fn_stamp_srt(spark, sf_dir):
     return c.select("doc_id", "idx", "speaker", F.md5(F.col("text").cast("binary")).alias("text_md5"), "stamp", fn.parse_stamp(F.col("stamp")).alias("parsed_ms"))
 
 
-QUERIES["fn_parse_stamp"], ORACLE_SQL["fn_parse_stamp"] = QUERIES["fn_stamp_srt"], ORACLE_SQL["fn_stamp_srt"]
 
 _TEXT_FUNCTIONS = {
     "fn_visible_length": (fn.visible_length, r"CAST(length(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS BIGINT)"),
