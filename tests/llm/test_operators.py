@@ -615,3 +615,27 @@ def test_pipeline(spark, rows, tmp_path):
         assert out.columns == docs.columns and out.count() <= docs.count(), name
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert got and rows[1][0] not in {r.doc_id for r in got}
+
+
+def test_pipeline_clashing_columns_and_empty_tables(spark, rows, tmp_path):
+    """Columns of the operators' own names pass through; those that the last stage adds give way. Empty tables give empty ones."""
+    import corpus_pipeline
+
+    extra = "coverage double, item_id long, n_tiles long, size long, source_size string, Target double, taken string, _lang string, _score int, _tag long, _h long, tag long, gone string, lead int, key string, component_id int"
+    names = [x.split()[0] for x in extra.split(", ")]
+    cols = f"doc_id long, text string, lang string, source string, n_chars long, {extra}"
+    own = [(*r[:5], 0.5, 1, 2, 3, "four", 5.0, "six", "seven", 8, 9, 10, 11, "twelve", 13, "fourteen", 15) for r in rows[:40]]
+    spark.createDataFrame([(1, rows[1][1])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(own, cols).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        got = out.select(*names).distinct().collect()
+        assert [tuple(r) for r in got] == [own[0][5:]], name
+    mixed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+    assert len({c.lower() for c in mixed.columns}) == len(mixed.columns) and mixed.select("_lang", "gone").distinct().count() == 1
+    (tmp_path / "e").mkdir()
+    docs.where("false").write.parquet(f"{tmp_path}/e/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/e/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/e").count() == 0
