@@ -1,6 +1,6 @@
 """All queries over the driver's tables; importing a module registers its queries."""
 
-from . import editing, edits, files, quality, queries, relations, scalars, streams, wires, words
+from . import alignment, editing, edits, files, quality, queries, relations, scalars, streams, wires, words
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "editing", "edits", "files", "quality", "queries", "relations", "scalars", "streams", "wires", "words"]
+__all__ = ["ORACLE_SQL", "QUERIES", "alignment", "editing", "edits", "files", "quality", "queries", "relations", "scalars", "streams", "wires", "words"]

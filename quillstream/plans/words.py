@@ -54,15 +54,15 @@ def _list(values: list[str]) -> str:
     return "(" + ", ".join(f"'{v}'" for v in values) + ")"
 
 
-def words_query(name: str, cols, sql: str, where: str = "", more=None, more_sql: str = "") -> None:
-    """A query over words with columns that may look at neighbours; ``more`` derives columns from these."""
+def words_query(name: str, cols, sql: str, where: str = "") -> None:
+    """A query over words with columns that may look at neighbours, maybe filtered by them."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        got = words(spark, sf_dir).withColumns(cols())
-        got = got.where(where) if where else got
-        return got.select(*KEY, "pos", *(more() if more else cols()))
+        own = cols()
+        got = words(spark, sf_dir).withColumns(own)
+        return (got.where(where) if where else got).select(*KEY, "pos", *own)
 
-    query(f"WITH {WORDS}, x AS (SELECT *, {sql} FROM words) SELECT doc_id, idx, speaker, pos, {more_sql or ', '.join(cols())} FROM x" + (f" WHERE {where}" if where else ""), name)(run)
+    query(f"WITH {WORDS}, w AS (SELECT doc_id, idx, speaker, pos, {sql}" + (", deleted" if where == "NOT deleted" else "") + f" FROM words) SELECT * {'EXCLUDE (deleted) ' if where == 'NOT deleted' else ''}FROM w" + (f" WHERE {where}" if where else ""), name)(run)
 
 
 def _next(name: str) -> Column:
