@@ -34,10 +34,13 @@ def op_replace(spark, sf_dir):
 
 @query(f"WITH {_OPS}, b AS (SELECT p_brand FROM part JOIN ops ON id = p_partkey GROUP BY 1 HAVING bool_and(expected = p_name)) SELECT p_partkey, CASE WHEN new_text IS NOT NULL AND b.p_brand IS NOT NULL THEN new_text ELSE p_name END AS text FROM part LEFT JOIN ops ON id = p_partkey LEFT JOIN b USING (p_brand)")
 def op_batch_replace(spark, sf_dir):
-    """The edits of a batch (a brand) hold only if all of them met the text that they expected."""
+    """The edits of a batch (a brand) hold only if all of them met the text that they expected.
+
+    Whether they did is one row a batch, aggregated before the shuffle and joined back; batches are never gathered.
+    """
     j = table(spark, sf_dir, "part").join(_ops(spark, sf_dir), F.col("id") == F.col("p_partkey"), "left")
-    all_met = F.bool_and(F.when(F.col("id").isNotNull(), F.col("expected") == F.col("p_name"))).over(Window.partitionBy("p_brand"))
-    return j.select("p_partkey", F.when(F.col("new_text").isNotNull() & all_met, F.col("new_text")).otherwise(F.col("p_name")).alias("text"))
+    met = j.where("id IS NOT NULL").groupBy("p_brand").agg(F.bool_and(F.col("expected") == F.col("p_name")).alias("all_met"))
+    return j.join(met, "p_brand", "left").select("p_partkey", F.when(F.col("new_text").isNotNull() & F.col("all_met"), F.col("new_text")).otherwise(F.col("p_name")).alias("text"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') THEN 'needs_review' ELSE o_orderstatus END AS status FROM orders")

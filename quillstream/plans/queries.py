@@ -202,13 +202,20 @@ for _name, _how, _sql in (("join_anti_receipts", "left_anti", "NOT EXISTS"), ("j
 dg AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 5), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 4)) AS i FROM d)), bg AS (SELECT DISTINCT item_id, array_to_string(list_slice(w, i, i + 5), ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 4)) AS i FROM b))
 SELECT doc_id, item_id, count(*) AS shared FROM dg JOIN bg USING (g) GROUP BY 1, 2""")
 def join_ngram_overlap(spark, sf_dir):
-    """Distinct 6-grams that documents share with benchmark items."""
+    """Distinct 6-grams that documents share with benchmark items, by 128 bits of their hashes.
+
+    The items' grams are counted; if they are few they are broadcast, so that only shared grams leave the scan of the
+    documents, else both sides are shuffled by the gram.
+    """
 
     def grams(name, key):
         t = table(spark, sf_dir, name).select(key, F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)).alias("w")).where("size(w) >= 6")
-        return t.select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 5), lambda i: F.array_join(F.slice("w", i, 6), " ")))).alias("g"))
+        own = lambda i: F.struct(F.xxhash64(F.slice("w", i, 6)).alias("g"), F.xxhash64(F.lit(1), F.slice("w", i, 6)).alias("g2"))
+        return t.select(key, F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 5), own)).alias("x")).select(key, "x.g", "x.g2")
 
-    return grams("documents", "doc_id").join(grams("benchmark", "item_id"), "g").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
+    items = grams("benchmark", "item_id").distinct()
+    items = F.broadcast(items) if items.count() <= 1_000_000 else items
+    return grams("documents", "doc_id").join(items, ["g", "g2"]).distinct().groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
 
 
 @query("SELECT source, lang, count(*) AS n, CAST(sum(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS BIGINT) AS good, CAST(sum(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS BIGINT) AS toxic FROM documents LEFT JOIN labels USING (doc_id) GROUP BY GROUPING SETS ((source), (lang), (source, lang))")
@@ -233,7 +240,8 @@ def agg_ngram_frequency(spark, sf_dir):
 
 @query("SELECT md5(text) AS text_md5, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1")
 def agg_duplicate_target(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("text").agg(F.count("*").alias("n")).where("n > 1").select(F.md5(F.col("text").cast("binary")).alias("text_md5"), "n")
+    """Texts are counted by their digest, so whole texts aren't shuffled."""
+    return table(spark, sf_dir, "documents").groupBy(F.md5(F.col("text").cast("binary")).alias("text_md5")).agg(F.count("*").alias("n")).where("n > 1")
 
 
 @query("WITH p AS (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) SELECT vec_id, CAST(i // 8 AS BIGINT) AS bucket, round(max(abs(CAST(v AS DOUBLE))), 4) AS peak FROM p GROUP BY 1, 2")
