@@ -22,8 +22,13 @@ STEPS = {("view", "click"), ("click", "purchase"), ("click", "error"), ("view",
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a local one only where none is set, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillstream-")
+    """The folder that the cluster names in spark.checkpoint.dir, or the context's checkpoint folder; a local one only where neither is set and all runs on one machine, as in tests."""
+    sc = spark.sparkContext
+    set_ = sc._jsc.sc().getCheckpointDir()
+    found = spark.conf.get("spark.checkpoint.dir", None) or (None if set_.isEmpty() else set_.get())
+    if not found and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return found or tempfile.mkdtemp(prefix="quillstream-")
 
 
 def event_log(spark: SparkSession, path: str, files_a_batch: int = 8) -> DataFrame:
