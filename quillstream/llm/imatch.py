@@ -78,7 +78,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text and of its edited text, with their likeness and that of the next document's.
 
     Texts are shuffled once, by block of ids; only the last document of a block takes its next one from another block.
-    Documents without doc_id form a block of their own after all others; rows with one doc_id stand in text order.
+    Documents without doc_id form a block of their own after all others; rows with one doc_id stand in text order. Null
+    and empty texts are equal and have the digest of no term. Only doc_id and text are read, so other columns of any
+    name don't matter; an empty table gives an empty one. A text is one value of a row, however long it is.
     """
     lex = lexicon(docs)
     base = docs.select("doc_id", common.text_or_empty().alias("text"))

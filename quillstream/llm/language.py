@@ -234,6 +234,11 @@ def with_language(docs: DataFrame, model: Crf, lang: str = "_lang", score: str =
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred and score of each document; null text and text without letters are ``und``, score 0."""
+    """doc_id, held_out, lang_pred and score of each document; null text and text without letters are ``und``, score 0.
+
+    Of equal shares the label first in order wins. Repeated rows each have a row, with one prediction. Only doc_id,
+    text and lang are read, so other columns of any name don't matter; without labelled documents all is ``und``; an
+    empty table gives an empty one. A very long text is one chain of words, handled in stretches of STRETCH words.
+    """
     got = with_language(docs.select("doc_id", "text"), fit(docs))
     return got.select("doc_id", held_out().alias("held_out"), F.col("_lang").alias("lang_pred"), F.round("_score", 6).alias("score"))

@@ -82,7 +82,9 @@ def containing_blocks(docs: DataFrame, share: float = CONTAINMENT) -> DataFrame:
 def scan(docs: DataFrame) -> DataFrame:
     """One row a document: words, places of the base phrases, labels and the best containment (1 for a base phrase).
 
-    Null text is empty. Rows that share doc_id and text share their labels; rows that share doc_id alone don't.
+    Null text is empty. Rows that share doc_id and text share their labels; rows that share doc_id alone don't. Only
+    doc_id and text are read, so other columns of any name don't matter; an empty table gives an empty one. Of equal
+    scores the labels all stay. A very long text costs its length; it is never cut.
     """
     base = docs.select("doc_id", F.xxhash64("text").alias("_text"), common.words(common.ascii_lower(common.text_or_empty())).alias("w"))
     base = base.select("doc_id", "_text", F.size("w").cast("long").alias("n_words"), *[phrase_starts(F.col("w"), p).alias(f"p{k}") for k, (_, p) in enumerate(PHRASES)])

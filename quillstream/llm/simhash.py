@@ -97,7 +97,11 @@ def near_groups(fps: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id of each document; null and empty texts have fingerprint 0."""
+    """doc_id, fingerprint (16 hex digits) and component_id of each document; null and empty texts have fingerprint 0.
+
+    Repeated rows each have a row. Only doc_id and text are read, so other columns of any name don't matter; an empty
+    table gives an empty one. A very long text is hashed BLOCK shingles at a time.
+    """
     fps = common.saved(with_fingerprint(docs.select("doc_id", "text")).select("doc_id", "_fp"))
     out = fps.join(near_groups(fps), "_fp")
     return out.select("doc_id", F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), "component_id")

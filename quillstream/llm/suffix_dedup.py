@@ -403,7 +403,8 @@ def removals(docs: DataFrame) -> DataFrame:
     """One row a document: bytes, bytes removed, maximal removed runs and the SHA-256 of what is left.
 
     Null text is empty; a document without id counts as larger than all others; rows with one doc_id never remove
-    bytes from each other.
+    bytes from each other, and equal ones have equal results. Only doc_id and text are read, so other columns of any
+    name don't matter; an empty table gives an empty one. A very long text is one row of a task.
     """
     keyed, ranges = repeated_ranges(docs)
     own = ranges.groupBy("doc", "tag").agg(F.collect_set(F.struct("lo", "hi")).alias("at"))

@@ -237,7 +237,12 @@ def read(spark: SparkSession, path: str, size: int = RANGE, payload: bool = True
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 0, size: int = RANGE) -> DataFrame:
-    """Write the pages as archives in the shared folder and read the records back."""
+    """Write the pages as archives in the shared folder and read the records back.
+
+    Null and empty html are equal payloads of 0 bytes; rows that repeat a page_id and payload are all responses or
+    all revisits. Only page_id, url and html are read, so other columns of any name don't matter. An empty table
+    gives an empty one. A page is one record in memory, however long it is.
+    """
     spark = pages.sparkSession
     path = f"{common.shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write(pages, path, min_bytes)
