@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import imatch, licenses
+from . import bottom_k, divergence, imatch, licenses
 
 _LOWER = "translate(coalesce({t}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "list_filter(string_split_regex(" + _LOWER + r", '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
@@ -78,4 +78,40 @@ SELECT s.doc_id, s.size, h.source_size, h.target,
   s.size * least(h.whole + CASE WHEN h.target - h.whole * h.source_size > 0 AND b.before + b.n / 2.0 <= h.target - h.whole * h.source_size THEN 1 ELSE 0 END, 2) AS taken
 FROM s JOIN h ON s.source IS NOT DISTINCT FROM h.source JOIN b ON s.source IS NOT DISTINCT FROM b.source AND s.k = b.k"""
 
-ORACLE_SQL = {"op1_fingerprints": op1(), "op2_warc": OP2, "op3_licenses": op3(), "op8_mixing": OP8}
+
+
+def op12() -> str:
+    return rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({_LOWER.format(t="text")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT row, doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END)) AS s FROM d),
+k AS (SELECT s, row_number() OVER () AS k FROM (SELECT DISTINCT s FROM s WHERE len(s) > 0)),
+e AS (SELECT k, len(s) AS n, unnest(s) AS t FROM k),
+l AS (SELECT a.k AS u, b.k AS v FROM e a JOIN e b ON a.t = b.t AND a.k < b.k AND least(a.n, b.n) * 100 >= greatest(a.n, b.n) * {bottom_k.SIMILARITY} GROUP BY a.k, b.k, a.n, b.n
+  HAVING count(*) * 100 >= (a.n + b.n - count(*)) * {bottom_k.SIMILARITY}),
+b AS (SELECT u, v FROM l UNION SELECT v, u FROM l),
+r AS (SELECT k AS u, k AS v FROM k UNION SELECT r.u, b.v FROM r JOIN b ON r.v = b.u),
+i AS (SELECT k.k, min(s.doc_id) AS id FROM k JOIN s ON k.s = s.s GROUP BY k.k),
+c AS (SELECT r.u AS k, min(i.id) AS component_id FROM r JOIN i ON i.k = r.v GROUP BY r.u),
+o AS (SELECT s.doc_id, len(s.s) AS n, CASE WHEN len(s.s) = 0 THEN s.doc_id ELSE c.component_id END AS component_id FROM s LEFT JOIN k ON k.s = s.s LEFT JOIN c ON c.k = k.k)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept FROM o"""
+
+
+def op13() -> str:
+    p = "1 + CAST({n} + " + str(divergence.ADDED) + " AS HUGEINT) * " + str(divergence.SCALE) + " // ({t} + " + str(divergence.ADDED) + " * {v})"
+    return rf"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS row, {_LOWER.format(t="text")} AS text FROM documents),
+t AS (SELECT lang, source, row, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT row) >= {divergence.LEAST_DOCS}),
+l AS (SELECT lang, count(*) AS v, sum(n) AS t FROM k GROUP BY lang),
+c AS (SELECT t.lang, source, t.term, count(*) AS n FROM t JOIN k ON t.lang = k.lang AND t.term = k.term GROUP BY t.lang, source, t.term),
+g AS (SELECT lang, source, coalesce(sum(c.n), 0) AS t FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY lang, source),
+f AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, {p.format(n="coalesce(c.n, 0)", t="g.t", v="l.v")} AS p, {p.format(n="k.n", t="l.t", v="l.v")} AS q
+  FROM g JOIN k ON g.lang = k.lang JOIN l ON l.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+s AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM f a JOIN f b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM f WHERE n > 0 AND p > q),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM o WHERE part = 'pair' OR rank <= {divergence.TERMS}"""
+
+
+ORACLE_SQL = {"op1_fingerprints": op1(), "op2_warc": OP2, "op3_licenses": op3(), "op8_mixing": OP8, "op12_minhash": op12(), "op13_divergence": op13()}
