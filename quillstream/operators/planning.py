@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import rules
+
 _PATH = "struct<cost:bigint,path:array<bigint>>"
 
 
@@ -87,3 +89,65 @@ def execution_blocks(units: DataFrame, key: list[str], target: int = 90_000, lea
     out = cut.select(*key, "total", "bounded", F.explode(block).alias("b")).select(*key, "total", "bounded", "b.*")
     took = F.col("end_ms") - F.col("start_ms")
     return out.withColumn("exception", (F.col("total") > most) & ~took.between(least, most)).drop("total")
+
+
+def cuts(units: DataFrame, key: list[str]) -> DataFrame:
+    """Units with what a cut after each would cost, in tenths, and whether the rules allow it.
+
+    Reads n (order within key), text (without its marks), marks (what follows the text), start_ms, end_ms and breaks
+    (whether a line ends there already). No cut parts units of one time, a place from its country, a word from the
+    hyphen's other half, a verb from its particle or an expression; the last two only where nothing separates them.
+    """
+    w = Window.partitionBy(*key).orderBy("n")
+    found = F.regexp_extract_all("text", F.lit(rules.ENGLISH_WORD), F.lit(0))
+    rows = units.withColumn("english", found).withColumn("bare", F.when(F.size("english") == 1, F.lower(F.translate(F.col("english")[0], "’", "'"))).otherwise(""))
+    at = lambda c, k: F.lead(c, k).over(w) if k > 0 else F.lag(c, -k).over(w)
+    bare = {k: F.coalesce(at("bare", k), F.lit("")) if k else F.col("bare") for k in (-1, 0, 1, 2)}
+    phrase = lambda a, z: F.concat_ws(" ", *[bare[k] for k in range(a, z + 1)])
+    gap = F.greatest(F.lit(0), at("start_ms", 1) - F.col("end_ms"))
+    ended = F.col("marks").rlike(rules.TERMINAL)
+    together = phrase(0, 1).isin(rules.EXPRESSIONS) | phrase(-1, 1).isin(rules.EXPRESSIONS) | phrase(0, 2).isin(rules.EXPRESSIONS)
+    guarded = F.col("text").rlike("[-‐‑‒]$") | ~ended & (gap < 400) & (bare[1].isin(rules.PARTICLES) | together)
+    place = F.lower(at("text", 1)).isin(rules.COUNTRIES) & F.col("text").rlike("^[A-Z]") & F.col("marks").contains(",")
+    shared = (at("start_ms", 1) == F.col("start_ms")) & (at("end_ms", 1) == F.col("end_ms"))
+    incomplete = ~ended & bare[0].isin(rules.DEPENDENT)
+    cost = F.when(F.col("breaks"), -25).otherwise(0) + F.when(ended, -90).when(F.col("marks").rlike(rules.CLAUSE), -40).otherwise(0) + F.when(gap >= 400, -80).when(gap >= 200, -40).when(gap >= 80, -15).otherwise(0)
+    last_word = F.lower(F.translate(F.expr("try_element_at(english, -1)"), "’", "'"))
+    return rows.withColumns({
+        "legal": ~F.coalesce(guarded | place | shared, F.lit(False)), "incomplete": incomplete, "cut_cost": F.when(at("n", 1).isNull(), 0).otherwise(cost).cast("long"),
+        "words": F.size("english").cast("long"), "dangling": F.when(F.size("english") > 0, last_word.isin(rules.DANGLING)), "next_start": at("start_ms", 1),
+    }).drop("english", "bare")
+
+
+def line_breaks(units: DataFrame, key: list[str], group: list[str], english: int = rules.ENGLISH_LIMIT, other: int = rules.OTHER_LIMIT, shortest: int = rules.SHORTEST, most_cues: int | None = None, incomplete: bool = False) -> DataFrame:
+    """(key, group, cues, cost, breaks): the cheapest cuts of each group into cues that fit the limits, as places n; null if none do.
+
+    The cost is in tenths: 15 a cue, what the cuts cost, and what short lines, lone words and brief cues cost. The fold
+    keeps the best way to each boundary for each number of cues, since the cheaper way may use cues that ``most_cues``
+    doesn't leave; of equal ways the one with the earlier boundary before, at the end the one with fewer cues. A group's
+    units stand in one row.
+    """
+    own = Window.partitionBy(*key, *group).orderBy("n")
+    upto = lambda c: F.sum(c).over(own.rowsBetween(Window.unboundedPreceding, 0)).cast("long")
+    rows = cuts(units, key).withColumn("shown", F.concat("text", "marks")).withColumn("k", F.row_number().over(own).cast("long"))
+    rows = rows.withColumns({
+        "chars": upto(F.length("shown") + 1), "all_words": upto("words"), "letters": upto(F.regexp_count("shown", F.lit("[A-Za-z]"))), "han": upto(F.regexp_count("shown", F.lit(r"[\x{3400}-\x{9FFF}]"))),
+        "called": F.col("shown").rlike("[?!？！]$"), "free": F.col("legal") & (F.lit(incomplete) | ~F.col("incomplete")),
+        "dangles": F.last(F.when(F.col("words") > 0, F.struct("k", "dangling")), True).over(own.rowsBetween(Window.unboundedPreceding, 0)),
+    })
+    unit = F.struct("k", "n", *[F.col(c).cast("long").alias(c) for c in ("start_ms", "end_ms", "next_start")], "chars", "all_words", "letters", "han", "called", "free", "cut_cost", "dangles")
+    groups = rows.groupBy(*key, *group).agg(F.sort_array(F.collect_list(unit)).alias("units"))
+    size, words, letters, han, took = "(x.chars - o.chars - 1)", "(x.all_words - o.all_words)", "(x.letters - o.letters)", "(x.han - o.han)", "greatest(0, x.end_ms - o.start_ms)"
+    latin = f"{letters} >= greatest(1, {han})"
+    segment = f"""if({latin}, if({size} < 16 AND {words} > 1, (16 - {size}) * 12, 0) + if({words} = 1 AND NOT x.called, 180, 0) + CASE WHEN {words} > 1 AND {took} < {shortest} THEN 400 WHEN {words} > 1 AND {took} < 800 THEN 140 ELSE 0 END,
+      if({took} < {shortest} AND {han} > 2, 400, 0))"""
+    fits = f"{size} BETWEEN 1 AND if({latin}, {english}, {other})" + (f" AND o.cues < {most_cues}" if most_cues is not None else "")
+    cut = "if(x.k = size(units), 0, x.cut_cost + if(coalesce(x.dangles.k >= o.k AND x.dangles.dangling, false), 180, 0))"
+    option = f"transform(filter(s.open, o -> (x.k = size(units) OR x.free) AND {fits}), o -> named_struct('cost', o.cost + 15 + {segment} + {cut}, 'k', o.k, 'cues', o.cues + 1, 'path', if(x.k = size(units), o.path, concat(o.path, array(x.n)))))"
+    state = "named_struct('k', x.k + 1, 'cues', b.cues, 'cost', b.cost, 'path', b.path, 'chars', x.chars, 'all_words', x.all_words, 'letters', x.letters, 'han', x.han, 'start_ms', x.next_start)"
+    each = "transform(array_distinct(transform(found, f -> f.cues)), c -> array_min(filter(found, f -> f.cues = c)))"
+    kept = f"filter(s.open, o -> {size} < {max(english, other)})"
+    step = f"transform(array({option}), found -> named_struct('open', if(x.k = size(units), s.open, concat({kept}, transform({each}, b -> {state}))), 'best', array_min(transform(found, f -> named_struct('cost', f.cost, 'cues', f.cues, 'path', f.path)))))[0]"
+    start = "named_struct('open', array(named_struct('k', 1L, 'cues', 0L, 'cost', 0L, 'path', cast(array() AS array<bigint>), 'chars', 0L, 'all_words', 0L, 'letters', 0L, 'han', 0L, 'start_ms', units[0].start_ms)), 'best', cast(NULL AS struct<cost:bigint,cues:bigint,path:array<bigint>>))"
+    best = F.expr(f"aggregate(units, {start}, (s, x) -> {step}, s -> s.best)")
+    return groups.select(*key, *group, best.alias("best")).select(*key, *group, F.col("best.cues").alias("cues"), F.col("best.cost").alias("cost"), F.col("best.path").alias("breaks"))

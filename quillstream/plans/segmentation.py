@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import rules
 from ..operators import planning
 from .bindings import table
 from .registry import query
@@ -15,18 +16,19 @@ _MARK, _PAUSE = r"[.!?][\"')]*$", r"[,;:]$"
 def speech(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words of each conversation as they would be spoken: a word takes 120 ms and 45 a character, and marks are followed by pauses."""
     c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("idx"), F.col("role").alias("speaker"), "text")
-    w = c.select("doc_id", "idx", "speaker", F.posexplode(F.regexp_extract_all("text", F.lit(r"[^\s]+"), F.lit(0))).alias("pos", "word"))
+    w = c.select("doc_id", "idx", "speaker", F.posexplode(F.regexp_extract_all("text", F.lit(r"[^\s]+\n?"), F.lit(0))).alias("pos", "word"))
+    w = w.withColumn("line_end", F.col("word").endswith("\n")).withColumn("word", F.regexp_replace("word", "\n", ""))
     took = F.length("word") * 45 + 120
     pause = F.when(F.col("word").rlike(_MARK), 600).when(F.col("word").rlike(_PAUSE), 250).otherwise(0)
     order = Window.partitionBy("doc_id").orderBy("idx", "speaker", "pos")
     end = F.sum(took + pause).over(order.rowsBetween(Window.unboundedPreceding, 0)) - pause
-    return w.select("doc_id", "idx", "speaker", F.col("pos").cast("long").alias("pos"), "word", (F.row_number().over(order) - 1).cast("long").alias("n"), (end - took).alias("start_ms"), end.alias("end_ms"), F.col("word").rlike(_MARK).alias("mark"))
+    return w.select("doc_id", "idx", "speaker", F.col("pos").cast("long").alias("pos"), "word", (F.row_number().over(order) - 1).cast("long").alias("n"), (end - took).alias("start_ms"), end.alias("end_ms"), F.col("word").rlike(_MARK).alias("mark"), "line_end")
 
 
-SPEECH = rf"""speech AS (SELECT doc_id, idx, speaker, pos, word, n, CAST(until - pause - took AS BIGINT) AS start_ms, CAST(until - pause AS BIGINT) AS end_ms, mark
+SPEECH = rf"""speech AS (SELECT doc_id, idx, speaker, pos, word, n, CAST(until - pause - took AS BIGINT) AS start_ms, CAST(until - pause AS BIGINT) AS end_ms, mark, line_end
   FROM (SELECT *, sum(took + pause) OVER o AS until, row_number() OVER o - 1 AS n FROM (SELECT *, length(word) * 45 + 120 AS took, regexp_matches(word, '{_MARK.replace("'", "''")}') AS mark,
     CASE WHEN regexp_matches(word, '{_MARK.replace("'", "''")}') THEN 600 WHEN regexp_matches(word, '{_PAUSE}') THEN 250 ELSE 0 END AS pause
-    FROM (SELECT conv_id AS doc_id, turn AS idx, role AS speaker, unnest(regexp_extract_all(text, '[^\s]+')) AS word, CAST(unnest(range(len(regexp_extract_all(text, '[^\s]+')))) AS BIGINT) AS pos FROM conversations))
+    FROM (SELECT * REPLACE (replace(word, chr(10), '') AS word), ends_with(word, chr(10)) AS line_end FROM (SELECT conv_id AS doc_id, turn AS idx, role AS speaker, unnest(regexp_extract_all(text, '[^\s]+\n?')) AS word, CAST(unnest(range(len(regexp_extract_all(text, '[^\s]+\n?')))) AS BIGINT) AS pos FROM conversations)))
   WINDOW o AS (PARTITION BY doc_id ORDER BY idx, speaker, pos)))"""
 
 _LIMITS = {"target": 90_000, "least": 75_000, "most": 100_000}
@@ -69,3 +71,50 @@ def _spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
 def seg_execution_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of 75 to 100 seconds, 90 if it can be, of each conversation, cut at ends of sentences."""
     return planning.execution_blocks(_spoken(spark, sf_dir), ["doc_id"], **_LIMITS)
+
+
+_MARKS = r"[,.;:!?\"')\]]*$"
+_CUES = 6
+
+
+def _said(values: list[str]) -> str:
+    return "(" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + ")"
+
+
+_CUTS = rf"""
+WITH RECURSIVE {SPEECH},
+t AS (SELECT *, regexp_extract(word, '{_MARKS.replace("'", "''")}') AS marks, regexp_replace(word, '{_MARKS.replace("'", "''")}', '') AS text, word AS shown FROM speech),
+e AS (SELECT *, regexp_extract_all(text, '{rules.ENGLISH_WORD.replace("'", "''")}') AS english FROM t),
+b AS (SELECT *, CASE WHEN len(english) = 1 THEN lower(replace(english[1], '’', '''')) ELSE '' END AS bare, len(english) AS words, lower(replace(english[-1], '’', '''')) IN {_said(rules.DANGLING)} AS dangling FROM e),
+c AS (SELECT *, lead(start_ms) OVER w AS next_start, lead(start_ms) OVER w IS NULL AS final, greatest(0, lead(start_ms) OVER w - end_ms) AS gap, regexp_matches(marks, '{rules.TERMINAL}') AS ended,
+  coalesce(lag(bare) OVER w, '') AS b0, bare AS b1, coalesce(lead(bare) OVER w, '') AS b2, coalesce(lead(bare, 2) OVER w, '') AS b3, lead(text) OVER w AS next_text, lead(end_ms) OVER w AS next_end FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
+u AS (SELECT *, NOT coalesce(regexp_matches(text, '[-‐‑‒]$') OR (NOT ended AND gap < 400 AND (b2 IN {_said(rules.PARTICLES)} OR concat(b1, ' ', b2) IN {_said(rules.EXPRESSIONS)} OR concat(b0, ' ', b1, ' ', b2) IN {_said(rules.EXPRESSIONS)} OR concat(b1, ' ', b2, ' ', b3) IN {_said(rules.EXPRESSIONS)}))
+    OR (lower(next_text) IN {_said(rules.COUNTRIES)} AND regexp_matches(text, '^[A-Z]') AND contains(marks, ',')) OR (next_start = start_ms AND next_end = end_ms), false) AND NOT (NOT ended AND b1 IN {_said(rules.DEPENDENT)}) AS free,
+  CASE WHEN final THEN 0 ELSE CASE WHEN line_end THEN -25 ELSE 0 END + CASE WHEN ended THEN -90 WHEN regexp_matches(marks, '{rules.CLAUSE}') THEN -40 ELSE 0 END + CASE WHEN gap >= 400 THEN -80 WHEN gap >= 200 THEN -40 WHEN gap >= 80 THEN -15 ELSE 0 END END AS cut_cost,
+  coalesce(sum(CASE WHEN mark THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, idx, speaker ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS grp FROM c),
+g AS (SELECT *, row_number() OVER o AS k, count(*) OVER (PARTITION BY doc_id, idx, speaker, grp) AS size FROM u WINDOW o AS (PARTITION BY doc_id, idx, speaker, grp ORDER BY n)),
+s AS (SELECT a.doc_id, a.idx, a.speaker, a.grp, a.k AS a, z.k AS z, z.n, z.size, z.free, z.cut_cost, any_value(z.end_ms) - any_value(a.start_ms) AS took, sum(length(x.shown) + 1) - 1 AS chars, sum(x.words) AS words, any_value(regexp_matches(z.shown, '[?!？！]$')) AS called,
+    sum(len(regexp_extract_all(x.shown, '[A-Za-z]'))) AS letters, sum(len(regexp_extract_all(x.shown, '[\x{{3400}}-\x{{9FFF}}]'))) AS han, arg_max(x.dangling, x.k) FILTER (WHERE x.words > 0) AS dangles
+  FROM g a JOIN g z ON a.doc_id = z.doc_id AND a.idx = z.idx AND a.speaker = z.speaker AND a.grp = z.grp AND z.k BETWEEN a.k AND a.k + {rules.ENGLISH_LIMIT}
+  JOIN g x ON x.doc_id = a.doc_id AND x.idx = a.idx AND x.speaker = a.speaker AND x.grp = a.grp AND x.k BETWEEN a.k AND z.k WHERE z.free OR z.k = z.size GROUP BY ALL HAVING sum(length(x.shown) + 1) - 1 <= {rules.ENGLISH_LIMIT}),
+l AS (SELECT *, letters >= greatest(1, han) AS latin FROM s),
+q AS (SELECT doc_id, idx, speaker, grp, a, z, n, size, CAST(15 + CASE WHEN z = size THEN 0 ELSE cut_cost + CASE WHEN dangles THEN 180 ELSE 0 END END + CASE WHEN latin THEN CASE WHEN chars < 16 AND words > 1 THEN (16 - chars) * 12 ELSE 0 END + CASE WHEN words = 1 AND NOT called THEN 180 ELSE 0 END
+    + CASE WHEN words > 1 AND took < {rules.SHORTEST} THEN 400 WHEN words > 1 AND took < 800 THEN 140 ELSE 0 END WHEN took < {rules.SHORTEST} AND han > 2 THEN 400 ELSE 0 END AS BIGINT) AS cost FROM l WHERE chars <= CASE WHEN latin THEN {rules.ENGLISH_LIMIT} ELSE {rules.OTHER_LIMIT} END),
+p(doc_id, idx, speaker, grp, done, size, cues, cost, path) AS (
+  SELECT doc_id, idx, speaker, grp, CAST(0 AS BIGINT), any_value(size), 0, CAST(0 AS BIGINT), CAST([] AS BIGINT[]) FROM g GROUP BY doc_id, idx, speaker, grp
+  UNION ALL
+  SELECT doc_id, idx, speaker, grp, z, any_value(size), cues + 1, min(o).cost, min(o).path FROM (
+    SELECT q.doc_id, q.idx, q.speaker, q.grp, q.z, q.size, p.cues, {{'cost': p.cost + q.cost, 'a': q.a, 'path': CASE WHEN q.z = q.size THEN p.path ELSE list_append(p.path, q.n) END}} AS o
+    FROM p JOIN q ON q.doc_id = p.doc_id AND q.idx = p.idx AND q.speaker = p.speaker AND q.grp = p.grp AND q.a = p.done + 1 WHERE p.cues < {_CUES}) GROUP BY doc_id, idx, speaker, grp, z, cues),
+f AS (SELECT doc_id, idx, speaker, grp, min({{'cost': cost, 'cues': cues, 'path': path}}) AS best FROM p WHERE done = size AND cues > 0 GROUP BY doc_id, idx, speaker, grp)
+SELECT d.doc_id, d.idx, d.speaker, CAST(d.grp AS BIGINT) AS grp, CAST(best.cues AS BIGINT) AS cues, best.cost AS cost, array_to_string(best.path, ',') AS breaks
+FROM (SELECT DISTINCT doc_id, idx, speaker, grp FROM g) d LEFT JOIN f ON f.doc_id = d.doc_id AND f.idx = d.idx AND f.speaker = d.speaker AND f.grp = d.grp"""
+
+
+@query(_CUTS)
+def seg_optimize_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest line breaks of each sentence of a turn, in six cues at most; none where words are too long for a line."""
+    turn = Window.partitionBy("doc_id", "idx", "speaker").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    said = speech(spark, sf_dir).withColumns({"text": F.regexp_replace("word", _MARKS, ""), "marks": F.regexp_extract("word", _MARKS, 0), "breaks": F.col("line_end"), "grp": F.coalesce(F.sum(F.col("mark").cast("long")).over(turn), F.lit(0))})
+    got = planning.line_breaks(said, ["doc_id"], ["idx", "speaker", "grp"], most_cues=_CUES)
+    return got.withColumn("breaks", F.array_join("breaks", ","))

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import itertools
 import random
+import re
 
+import pytest
+
+from quillstream.functions import rules
 from quillstream.operators import planning
 
 UNIT = "doc_id long, n long, start_ms long, end_ms long, speaker string, conf long, quiet boolean, cut boolean"
@@ -92,3 +96,76 @@ def test_blocks_of_a_long_document(spark):
     got = planning.execution_blocks(spark.createDataFrame(seconds(240, quiet={176}), UNIT), ["doc_id"], 180_000, 150_000, 210_000).collect()
     assert sorted(r.last_n for r in got) == [176, 239]
     assert planning.execution_blocks(spark.createDataFrame([], UNIT), ["doc_id"]).collect() == []
+
+
+WORD = "doc_id long, n long, grp long, text string, marks string, start_ms long, end_ms long, breaks boolean"
+
+
+def breaks_by_force(units: list[dict], following: list[dict], most: int | None, english: int, other: int) -> tuple | None:
+    """Every set of legal cuts, priced by its definition; of equal ones the fewest cues, then the earliest last cuts."""
+    words = lambda t: re.findall(rules.ENGLISH_WORD, t)
+    bare = lambda u: words(u["text"])[0].lower().replace("’", "'") if u and len(words(u["text"])) == 1 else ""
+
+    def cut(k: int) -> tuple[bool, int]:
+        u, v = units[k], units[k + 1]
+        at = lambda i: following[units[0]["at"] + i] if 0 <= units[0]["at"] + i < len(following) else None
+        gap, ended = max(0, v["start_ms"] - u["end_ms"]), bool(re.search(rules.TERMINAL, u["marks"]))
+        near = [bare(at(k + i)) for i in (-1, 0, 1, 2)]
+        phrases = [near[1:3], near[0:3], near[1:4]]
+        legal = not re.search("[-‐‑‒]$", u["text"]) and (u["start_ms"], u["end_ms"]) != (v["start_ms"], v["end_ms"])
+        legal &= ended or gap >= 400 or not (near[2] in rules.PARTICLES or any(" ".join(p) in rules.EXPRESSIONS for p in phrases))
+        legal &= not (v["text"].lower() in rules.COUNTRIES and u["text"][:1].isupper() and "," in u["marks"])
+        legal &= ended or near[1] not in rules.DEPENDENT
+        cost = -25 * u["breaks"] + (-90 if ended else -40 if re.search(rules.CLAUSE, u["marks"]) else 0) + (-80 if gap >= 400 else -40 if gap >= 200 else -15 if gap >= 80 else 0)
+        return legal, cost
+
+    def cue(a: int, z: int) -> int | None:
+        text = " ".join(u["text"] + u["marks"] for u in units[a : z + 1])
+        found = words(" ".join(u["text"] for u in units[a : z + 1]))
+        latin, han = len(re.findall("[A-Za-z]", text)), len(re.findall("[㐀-鿿]", text))
+        took = max(0, units[z]["end_ms"] - units[a]["start_ms"])
+        if not text or len(text) > (english if latin >= max(1, han) else other):
+            return None
+        if latin < max(1, han):
+            cost = 400 if took < 700 and han > 2 else 0
+        else:
+            cost = (16 - len(text)) * 12 if len(text) < 16 and len(found) > 1 else 0
+            cost += 180 if len(found) == 1 and not text.endswith(("?", "!", "？", "！")) else 0
+            cost += 400 if took < 700 and len(found) > 1 else 140 if took < 800 and len(found) > 1 else 0
+        if z < len(units) - 1:
+            cost += 180 if found and found[-1].lower().replace("’", "'") in rules.DANGLING else 0
+        return cost + 15
+
+    best = None
+    free = [k for k in range(len(units) - 1) if cut(k)[0]]
+    for path in itertools.chain.from_iterable(itertools.combinations(free, k) for k in range(len(free) + 1)):
+        if most is not None and len(path) >= most:
+            continue
+        costs = [cue(a + 1, z) for a, z in itertools.pairwise([-1, *path, len(units) - 1])]
+        if None not in costs:
+            got = (sum(costs) + sum(cut(k)[1] for k in path), len(path) + 1, path[::-1])
+            best = min(best or got, got)
+    return best and (best[1], best[0], [units[k]["n"] for k in best[2][::-1]])
+
+
+@pytest.mark.parametrize(("most", "english", "other"), [(None, 24, 6), (3, 30, 8)])
+def test_line_breaks_by_force(spark, most, english, other):
+    rng = random.Random(english)
+    vocab = ["one", "of", "the", "such", "as", "set", "up", "Paris", "france", "well-", "don't", "a", "lot", "字", "幕字幕", "7.5", "because", "unless", "Go", "extraordinarily"]
+    rows, want = [], set()
+    for doc in range(70):
+        at, own = 0, []
+        for n in range(rng.randint(1, 16)):
+            took = rng.choice([0, 150, 300, 600])
+            own.append({"doc_id": doc, "n": n, "grp": n // 9, "text": rng.choice(vocab), "marks": rng.choice(["", "", "", "", ",", ".", "?", ";"]), "start_ms": at, "end_ms": at + took, "breaks": rng.random() < 0.2})
+            at += took + rng.choice([0, 0, 100, 250, 500])
+        for grp, units in itertools.groupby(own, key=lambda u: u["grp"]):
+            units = list(units)
+            units[0] = {**units[0], "at": units[0]["n"]}
+            got = breaks_by_force(units, own, most, english, other)
+            want.add((doc, grp, *(got[:2] if got else (None, None)), tuple(got[2]) if got else None))
+        rows += [tuple(u[c.split()[0]] for c in WORD.split(", ")) for u in own]
+    rng.shuffle(rows)
+    got = planning.line_breaks(spark.createDataFrame(rows, WORD), ["doc_id"], ["grp"], english, other, most_cues=most).collect()
+    found = {(r.doc_id, r.grp, r.cues, r.cost, None if r.breaks is None else tuple(r.breaks)) for r in got}
+    assert found == want and len(got) == len(want) and any(r.breaks is None for r in got) and sum(bool(r.breaks) for r in got) > 40
