@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bottom_k, divergence, imatch, licenses
+from . import bottom_k, divergence, dual_tree, imatch, licenses
 
 _LOWER = "translate(coalesce({t}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "list_filter(string_split_regex(" + _LOWER + r", '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
@@ -80,6 +80,19 @@ FROM s JOIN h ON s.source IS NOT DISTINCT FROM h.source JOIN b ON s.source IS NO
 
 
 
+def op11() -> str:
+    return f"""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS other_id, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id IS DISTINCT FROM b.vec_id),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= {dual_tree.POSITIVES}),
+n AS (SELECT p.anchor_id, p.other_id AS positive_id, s.other_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+  row_number() OVER (PARTITION BY p.anchor_id, p.other_id ORDER BY s.score DESC, s.other_id) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND {dual_tree.LEAST} * p.score <= 100 * s.score AND 100 * s.score <= {dual_tree.MOST} * p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= {dual_tree.NEGATIVES}"""
+
+
 def op12() -> str:
     return rf"""
 WITH RECURSIVE d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({_LOWER.format(t="text")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -114,4 +127,4 @@ o AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY valu
 SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM o WHERE part = 'pair' OR rank <= {divergence.TERMS}"""
 
 
-ORACLE_SQL = {"op1_fingerprints": op1(), "op2_warc": OP2, "op3_licenses": op3(), "op8_mixing": OP8, "op12_minhash": op12(), "op13_divergence": op13()}
+ORACLE_SQL = {"op1_fingerprints": op1(), "op2_warc": OP2, "op3_licenses": op3(), "op8_mixing": OP8, "op11_hard_negatives": op11(), "op12_minhash": op12(), "op13_divergence": op13()}

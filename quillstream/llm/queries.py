@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bottom_k, decontaminate, divergence, html_text, imatch, language, licenses, line_dedup, mixing, simhash, suffix_dedup, warc
+from . import bottom_k, decontaminate, divergence, dual_tree, html_text, imatch, language, licenses, line_dedup, mixing, simhash, suffix_dedup, warc
 from .common import table
 from .oracles import ORACLE_SQL  # noqa: F401
 
@@ -52,6 +52,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removals(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dual_tree.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bottom_k.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -60,4 +64,4 @@ def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_warc, op3_licenses, op4_line_dedup, op5_decontaminate, op6_simhash, op7_language, op8_mixing, op9_main_text, op10_suffix_dedup, op12_minhash, op13_divergence)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_warc, op3_licenses, op4_line_dedup, op5_decontaminate, op6_simhash, op7_language, op8_mixing, op9_main_text, op10_suffix_dedup, op11_hard_negatives, op12_minhash, op13_divergence)}
