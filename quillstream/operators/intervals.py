@@ -67,3 +67,20 @@ def band(left: DataFrame, right: DataFrame, keys: list[str], most_ms: int) -> Da
     b = right.select(*keys, *[F.col(c).alias(f"o_{c}") for c in right.columns if c not in keys])
     b = b.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("o_start_ms") / most_ms) - 1, F.floor(F.col("o_start_ms") / most_ms) + 1)))
     return a.join(b, [*keys, "_bin"]).where(F.abs(F.col("start_ms") - F.col("o_start_ms")) <= most_ms).drop("_bin")
+
+
+def applied(ops: DataFrame, keys: list[str], first: int, last: int) -> DataFrame:
+    """(keys, start_ms, end_ms): what is kept of [first, last) after ops (n, restore, start_ms, end_ms) cut or restore intervals in their order n.
+
+    Kept intervals stay apart and ascend; a restored one takes in those that it touches. Equal n are applied in the
+    order of their other columns. The ops of a key stand in one row.
+    """
+    span = "struct<a:bigint,b:bigint>"
+    cut = "flatten(transform(s, k -> filter(array(named_struct('a', k.a, 'b', least(k.b, x.start_ms)), named_struct('a', greatest(k.a, x.end_ms), 'b', k.b)), p -> p.a < p.b)))"
+    apart, touched = "(k.b < x.start_ms OR k.a > x.end_ms)", "filter(s, k -> k.b >= x.start_ms AND k.a <= x.end_ms)"
+    joined = f"array(named_struct('a', array_min(concat(array(x.start_ms), transform({touched}, k -> k.a))), 'b', array_max(concat(array(x.end_ms), transform({touched}, k -> k.b)))))"
+    step = f"if(x.start_ms >= x.end_ms, s, if(x.restore, array_sort(concat(filter(s, k -> {apart}), {joined})), {cut}))"
+    op = F.struct("n", *[F.col(c).cast("long").alias(c) for c in ("start_ms", "end_ms")], "restore")
+    rows = ops.groupBy(*keys).agg(F.sort_array(F.collect_list(op)).alias("ops"))
+    kept = F.expr(f"aggregate(ops, cast(array(named_struct('a', {first}L, 'b', {last}L)) AS array<{span}>), (s, x) -> {step})")
+    return rows.select(*keys, F.explode(kept).alias("k")).select(*keys, F.col("k.a").alias("start_ms"), F.col("k.b").alias("end_ms"))

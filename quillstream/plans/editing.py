@@ -196,3 +196,18 @@ def project_frame_grid(spark, sf_dir):
     """Lengths on a grid of 30 frames a second: the running sum is rounded, so no drift adds up; whole numbers only."""
     f = units(spark, sf_dir).withColumn("_upto", F.sum(F.col("end_ms") - F.col("start_ms")).over(_upto())).withColumn("_g", F.expr("(_upto * 3 + 50) div 100"))
     return f.select("event_id", (F.col("_g") - F.coalesce(F.lag("_g").over(by_doc()), F.lit(0))).alias("frames"))
+
+
+@query("""
+WITH ops AS (SELECT l_orderkey AS doc, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey % 80, l_partkey % 80 + CAST(l_quantity AS BIGINT), l_returnflag = 'R') AS op, l_returnflag = 'R' AS restore, l_partkey % 80 AS a, l_partkey % 80 + CAST(l_quantity AS BIGINT) AS b FROM lineitem),
+e AS (SELECT doc, a AS edge FROM ops UNION SELECT doc, b FROM ops UNION SELECT doc, 0 FROM ops UNION SELECT doc, 140 FROM ops),
+s AS (SELECT doc, edge AS a, lead(edge) OVER (PARTITION BY doc ORDER BY edge) AS b FROM e),
+w AS (SELECT s.doc, s.a, s.b, arg_max(o.restore, o.op) AS restore FROM s LEFT JOIN ops o ON o.doc = s.doc AND o.a <= s.a AND s.b <= o.b WHERE s.b IS NOT NULL GROUP BY s.doc, s.a, s.b),
+i AS (SELECT *, CASE WHEN lag(b) OVER (PARTITION BY doc ORDER BY a) = a THEN 0 ELSE 1 END AS starts FROM w WHERE restore IS NULL OR restore),
+r AS (SELECT *, sum(starts) OVER (PARTITION BY doc ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM i)
+SELECT doc, min(a) AS kept_from, max(b) AS kept_to FROM r GROUP BY doc, island""")
+def ivl_apply_ops(spark, sf_dir):
+    """Lines of an order cut its span or, if returned, restore it, in the order of their numbers; the SQL lets the last line of each smallest segment decide."""
+    start = F.col("l_partkey") % 80
+    ops = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("n"), (F.col("l_returnflag") == "R").alias("restore"), start.alias("start_ms"), (start + F.col("l_quantity").cast("long")).alias("end_ms"))
+    return ivl.applied(ops, ["doc"], 0, 140).select("doc", F.col("start_ms").alias("kept_from"), F.col("end_ms").alias("kept_to"))

@@ -22,10 +22,6 @@ stated("join_reference_report", f"""WITH expected AS (SELECT {_K}, pos FROM {{wo
 SELECT k.doc_id, k.idx, k.speaker, k.pos, coalesce(r.text, k.word) AS text, k.deleted AS hidden FROM kept k LEFT JOIN r ON k.doc_id = r.doc_id AND k.idx = r.idx AND k.speaker = r.speaker AND k.pos = r.pos""")
 stated("join_opinion_overlap", """WITH mine AS (SELECT l_orderkey AS cue, l_linenumber AS id, l_partkey % 30 AS a, l_partkey % 30 + 5 AS b FROM {lineitem}), theirs AS (SELECT o_orderkey AS cue, o_orderkey % 9 AS id, o_custkey % 30 AS a, o_custkey % 30 + 4 AS b FROM {orders}),
 m AS (SELECT t.cue, t.id, m.id AS mine_id, row_number() OVER (PARTITION BY t.cue, t.id ORDER BY CASE WHEN m.id = t.id THEN 0 ELSE 1 END, m.id) AS k, m.id = t.id AS by_id FROM theirs t JOIN mine m ON m.cue = t.cue AND (m.id = t.id OR m.a < t.b AND t.a < m.b)) SELECT cue, id, mine_id, by_id FROM m WHERE k = 1""")
-stated("ivl_apply_ops", """WITH ops AS (SELECT l_orderkey AS doc, l_linenumber AS op, l_returnflag = 'R' AS restore, l_partkey % 80 AS a, l_partkey % 80 + CAST(l_quantity AS BIGINT) AS b FROM {lineitem}), e AS (SELECT doc, a AS edge FROM ops UNION SELECT doc, b FROM ops UNION SELECT doc, 0 FROM ops UNION SELECT doc, 140 FROM ops),
-s AS (SELECT doc, edge AS a, lead(edge) OVER (PARTITION BY doc ORDER BY edge) AS b FROM e), w AS (SELECT s.doc, s.a, s.b, max(o.op) AS op FROM s LEFT JOIN ops o ON o.doc = s.doc AND o.a <= s.a AND s.b <= o.b WHERE s.b IS NOT NULL GROUP BY s.doc, s.a, s.b),
-k AS (SELECT w.doc, w.a, w.b FROM w LEFT JOIN ops o ON o.doc = w.doc AND o.op = w.op WHERE w.op IS NULL OR o.restore), i AS (SELECT *, CASE WHEN lag(b) OVER (PARTITION BY doc ORDER BY a) = a THEN 0 ELSE 1 END AS starts FROM k), r AS (SELECT *, sum(starts) OVER (PARTITION BY doc ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM i)
-SELECT doc, min(a) AS kept_from, max(b) AS kept_to FROM r GROUP BY doc, island""")
 stated("sink_revision_append", """WITH r AS (SELECT project_id, task_id, row_number() OVER (PARTITION BY project_id ORDER BY created_us, task_id) AS n, lag(task_id) OVER (PARTITION BY project_id ORDER BY created_us, task_id) AS latest, CASE WHEN task_id % 9 = 4 THEN NULL ELSE depends_on END AS expected FROM {tasks})
 SELECT project_id, task_id, CASE WHEN task_id % 11 = 7 THEN 'replayed' WHEN expected IS DISTINCT FROM latest THEN 'conflict' ELSE 'appended' END AS outcome, n = 1 OR n % 50 = 0 AS is_snapshot FROM r""")
 stated("sink_revision_sequence", "WITH s AS (SELECT project_id, count(*) AS stages, min(task_id) AS first_stage, max(task_id) AS last_stage, max(CASE WHEN state = 'queued' AND task_id % 13 = 0 THEN 1 ELSE 0 END) AS failed FROM {tasks} GROUP BY project_id) SELECT project_id, CASE WHEN failed = 1 THEN 0 ELSE stages END AS committed, first_stage, last_stage FROM s")

@@ -48,3 +48,9 @@ def test_subtract(spark):
     cuts = spark.createDataFrame([(1, 2, 4), (1, 3, 7)], "k int, start_ms long, end_ms long")
     assert sorted(map(tuple, intervals.subtract(keep, cuts, ["k"]).collect())) == [(1, 0, 2), (1, 7, 10)]
     assert intervals.subtract(keep, spark.createDataFrame([(1, 0, 20)], cuts.schema), ["k"]).count() == 0
+
+
+def test_applied_in_order(spark):
+    rows = [(1, 1, False, 2, 4), (1, 2, True, 3, 4), (1, 3, False, 0, 1), (2, 1, True, 12, 15), (2, 2, False, 5, 20), (3, 1, False, 0, 10), (4, 1, False, 4, 4), (4, 1, True, 9, 9)]
+    got = intervals.applied(spark.createDataFrame(rows, "k int, n int, restore boolean, start_ms long, end_ms long"), ["k"], 0, 10)
+    assert sorted(map(tuple, got.collect())) == [(1, 1, 2), (1, 3, 10), (2, 0, 5), (4, 0, 10)]
