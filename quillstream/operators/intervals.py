@@ -83,4 +83,4 @@ def applied(ops: DataFrame, keys: list[str], first: int, last: int) -> DataFrame
     op = F.struct("n", *[F.col(c).cast("long").alias(c) for c in ("start_ms", "end_ms")], "restore")
     rows = ops.groupBy(*keys).agg(F.sort_array(F.collect_list(op)).alias("ops"))
     kept = F.expr(f"aggregate(ops, cast(array(named_struct('a', {first}L, 'b', {last}L)) AS array<{span}>), (s, x) -> {step})")
-    return rows.select(*keys, F.explode(kept).alias("k")).select(*keys, F.col("k.a").alias("start_ms"), F.col("k.b").alias("end_ms"))
+    return rows.select(*keys, F.explode(kept).alias("_kept")).select(*keys, F.col("_kept.a").alias("start_ms"), F.col("_kept.b").alias("end_ms"))
