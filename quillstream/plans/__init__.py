@@ -1,6 +1,6 @@
 """All queries over the driver's tables; importing a module registers its queries."""
 
-from . import alignment, editing, edits, files, more, quality, queries, relations, scalars, segmentation, streams, transcripts, wires, words
+from . import alignment, editing, edits, files, more, quality, queries, relations, scalars, segmentation, streams, transcripts, wires, words, writing
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "alignment", "editing", "edits", "files", "more", "quality", "queries", "relations", "scalars", "segmentation", "streams", "transcripts", "wires", "words"]
+__all__ = ["ORACLE_SQL", "QUERIES", "alignment", "editing", "edits", "files", "more", "quality", "queries", "relations", "scalars", "segmentation", "streams", "transcripts", "wires", "words", "writing"]
