@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
+from .once import once
 
 _PATH = "struct<cost:bigint,path:array<bigint>>"
 
@@ -82,7 +83,7 @@ def execution_blocks(units: DataFrame, key: list[str], target: int = 90_000, lea
     first = F.struct("n", "start_ms")
     docs = rows.groupBy(*key).agg(F.sort_array(F.collect_list(F.when(F.col("cut") | F.col("last"), node))).alias("nodes"), F.min(first).alias("first"), F.max(F.struct("n", "end_ms")).alias("end"))
     docs = docs.withColumns({"first_n": F.col("first.n").cast("long"), "first_start": F.col("first.start_ms").cast("long"), "last_n": F.col("end.n").cast("long"), "finish": F.col("end.end_ms").cast("long")})
-    docs = docs.withColumn("shortest", _bounded(target, least, most)).withColumn("path", F.when(F.col("shortest").isNull(), _nearest(target, least, most)).otherwise(F.col("shortest")))
+    docs = once(once(docs, shortest=_bounded(target, least, most)), path=F.when(F.col("shortest").isNull(), _nearest(target, least, most)).otherwise(F.col("shortest")))
     seams = F.expr("concat(array(named_struct('n', first_n - 1, 'end_ms', 0L, 'next_start', first_start)), transform(path, p -> filter(transform(nodes, x -> named_struct('n', x.n, 'end_ms', x.end_ms, 'next_start', x.next_start)), x -> x.n = p)[0]), array(named_struct('n', last_n, 'end_ms', finish, 'next_start', 0L)))")
     cut = docs.select(*key, (F.col("finish") - F.col("first_start")).alias("total"), F.col("shortest").isNotNull().alias("bounded"), seams.alias("seams"))
     block = F.expr("transform(sequence(1, size(seams) - 1), k -> named_struct('block', cast(k AS bigint), 'first_n', seams[k - 1].n + 1, 'last_n', seams[k].n, 'start_ms', seams[k - 1].next_start, 'end_ms', seams[k].end_ms))")
@@ -150,4 +151,4 @@ def line_breaks(units: DataFrame, key: list[str], group: list[str], english: int
     step = f"transform(array({option}), found -> named_struct('open', if(x.k = size(units), s.open, concat({kept}, transform({each}, b -> {state}))), 'best', array_min(transform(found, f -> named_struct('cost', f.cost, 'cues', f.cues, 'path', f.path)))))[0]"
     start = "named_struct('open', array(named_struct('k', 1L, 'cues', 0L, 'cost', 0L, 'path', cast(array() AS array<bigint>), 'chars', 0L, 'all_words', 0L, 'letters', 0L, 'han', 0L, 'start_ms', units[0].start_ms)), 'best', cast(NULL AS struct<cost:bigint,cues:bigint,path:array<bigint>>))"
     best = F.expr(f"aggregate(units, {start}, (s, x) -> {step}, s -> s.best)")
-    return groups.select(*key, *group, best.alias("best")).select(*key, *group, F.col("best.cues").alias("cues"), F.col("best.cost").alias("cost"), F.col("best.path").alias("breaks"))
+    return once(groups, best=best).select(*key, *group, F.col("best.cues").alias("cues"), F.col("best.cost").alias("cost"), F.col("best.path").alias("breaks"))

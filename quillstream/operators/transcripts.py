@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .once import once
+
 #: Words of Latin letters and digits with inner apostrophes, and single Han, kana and Hangul characters.
 TOKEN = r"[A-Za-zÀ-ÖØ-öø-ÿ0-9]+(?:['’][A-Za-zÀ-ÖØ-öø-ÿ0-9]+)*|[\x{3400}-\x{9FFF}\x{3040}-\x{30FF}\x{AC00}-\x{D7AF}]"
 #: Tokens of the left text's end and of the right text's beginning among which a seam is looked for.
@@ -91,7 +93,7 @@ def located(masters: DataFrame, parts: DataFrame, key: list[str]) -> DataFrame:
     # tails[k] has the smallest end of a chain of k + 1 tokens, with its start; hits of one token come from the back
     step = """transform(array(size(filter(tails, t -> t.last < -h.back))), k -> concat(slice(tails, 1, k), array(named_struct('last', -h.back, 'first', if(k = 0, -h.back, tails[k - 1].first))), slice(tails, k + 2, size(tails))))[0]"""
     chain = F.expr(f"aggregate(hits, cast(array() AS array<struct<last:int,first:int>>), (tails, h) -> {step})")
-    out = p.join(chains.select(*key, "part", chain.alias("tails")), [*key, "part"], "left")
+    out = p.join(once(chains, tails=chain).select(*key, "part", "tails"), [*key, "part"], "left")
     got = F.coalesce(F.size("tails"), F.lit(0))
     none = F.col("tails").isNull()
     last = F.expr("element_at(tails, -1)")
@@ -133,7 +135,7 @@ def aligned(spans: DataFrame) -> DataFrame:
     row = f"aggregate(if(size(b) > 0, sequence(1, size(b)), cast(array() AS array<int>)), array(named_struct('cost', r[0].cost + 4, 'steps', concat(r[0].steps, 'd'))), (acc, j) -> concat(acc, array({cell})))"
     first = "transform(sequence(0, size(b)), j -> named_struct('cost', 4 * j, 'steps', repeat('i', j)))"
     got = F.expr(f"element_at(aggregate(a, {first}, (r, x) -> {row}), -1)")
-    return spans.withColumn("best", got).withColumns({"cost": F.col("best.cost").cast("long"), "steps": F.col("best.steps")}).drop("best")
+    return once(spans, best=got).withColumns({"cost": F.col("best.cost").cast("long"), "steps": F.col("best.steps")}).drop("best")
 
 
 # Vowels with the marks of the four tones, and what they are without.
