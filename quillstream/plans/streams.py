@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..streaming import events as st
+from ..streaming import tail
 from .bindings import TASKS, micros, table, tasks
 from .registry import query
 
@@ -113,3 +114,18 @@ def st_late_conflict(spark, sf_dir):
 def st_idempotent_receipt(spark, sf_dir):
     """A commit for each receipt (user and payload): the first event that asks for it."""
     return table(spark, sf_dir, "events").groupBy("user_id", "props").agg(F.min("event_id").alias("event_id"))
+
+
+_AFTER = 500
+
+
+@query(f"SELECT event_id, user_id, event_type FROM events WHERE event_id > {_AFTER}")
+def st_cursor_tail(spark, sf_dir):
+    """What the log has past a cursor, followed as a stream of a source of our own; tests/test_tail.py restarts it."""
+    return st.drain(tail.tail(spark, f"{sf_dir}/events.parquet", "event_id long, user_id long, event_type string", after=_AFTER), "append", spark).drop("batch")
+
+
+@query("SELECT event_id, sha256('id: ' || event_id || chr(10) || 'event: ' || event_type || chr(10) || 'data: ' || CAST(to_json({'event_id': event_id, 'user_id': user_id, 'event_type': event_type}) AS VARCHAR) || chr(10) || chr(10)) AS frame_sha256 FROM events")
+def sink_sse(spark, sf_dir):
+    """Events as frames of a browser's event stream."""
+    return tail.encoded(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")).select("event_id", F.sha2("frame", 256).alias("frame_sha256"))
