@@ -1,16 +1,37 @@
-"""Scans and sinks: texts rendered from the driver's tables and read back."""
+"""Scans and sinks: texts rendered from the driver's tables, written to files in the shared folder and read back."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..sources import subtitles
+from ..streaming.events import shared_dir
 from .bindings import CUES, UNITS, cues, table, units
 from .queries import sink_srt
 from .registry import query
 
 
+def _folder(spark):
+    return f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+
+
+def _filed(spark, texts, key, body):
+    """The texts as they are read back from files, one a key."""
+    at = _folder(spark)
+    subtitles.write_files(texts, key, body, at)
+    return subtitles.read_keyed(spark, at, key, texts.schema[key].dataType.simpleString(), body)
+
+
+def _lines(spark, lines):
+    """Lines as they are read back from text files."""
+    at = _folder(spark)
+    lines.write.text(at)
+    return spark.read.text(at)
+
+
 def _md5(c):
     return F.md5(F.col(c).cast("binary"))
 
@@ -34,23 +55,23 @@ def _spoiled(spark, sf_dir):
 @query(f"WITH {_NUMBERED} SELECT doc_id, number - 1 AS pos, number, start_ms, end_ms, md5(trim(text)) AS text_md5 FROM n")
 def scan_srt(spark, sf_dir):
     """A round trip: the rendered texts are parsed back to the cues that they were made of."""
-    got = subtitles.strict(sink_srt(spark, sf_dir), "doc_id", "srt")
+    got = subtitles.strict(_filed(spark, sink_srt(spark, sf_dir), "doc_id", "srt"), "doc_id", "srt")
     return got.select("doc_id", "pos", "number", "start_ms", "end_ms", _md5("text").alias("text_md5"))
 
 
 @query(f"WITH {_NUMBERED} SELECT doc_id, number - 1 AS pos, {_SPOILED} AS error FROM n WHERE {_SPOILED} IS NOT NULL")
 def scan_srt_with_errors(spark, sf_dir):
-    return subtitles.rejects(_spoiled(spark, sf_dir), "doc_id", "srt")
+    return subtitles.rejects(_filed(spark, _spoiled(spark, sf_dir), "doc_id", "srt"), "doc_id", "srt")
 
 
 @query(f"WITH {_NUMBERED} SELECT doc_id, number - 1 AS pos, start_ms, end_ms, md5(trim(text)) AS text_md5 FROM n WHERE coalesce({_SPOILED}, 'number') = 'number'")
 def scan_srt_lenient(spark, sf_dir):
-    return subtitles.lenient(_spoiled(spark, sf_dir), "doc_id", "srt").select("doc_id", "pos", "start_ms", "end_ms", _md5("text").alias("text_md5"))
+    return subtitles.lenient(_filed(spark, _spoiled(spark, sf_dir), "doc_id", "srt"), "doc_id", "srt").select("doc_id", "pos", "start_ms", "end_ms", _md5("text").alias("text_md5"))
 
 
 @query(f"WITH {_NUMBERED} SELECT doc_id, string_agg(trim(text), chr(10) ORDER BY number) AS plain FROM n GROUP BY 1")
 def scan_srt_lines_text(spark, sf_dir):
-    return sink_srt(spark, sf_dir).select("doc_id", subtitles.plain(F.col("srt")).alias("plain"))
+    return _filed(spark, sink_srt(spark, sf_dir), "doc_id", "srt").select("doc_id", subtitles.plain(F.col("srt")).alias("plain"))
 
 
 @query(f"WITH {_NUMBERED} SELECT doc_id, number - 1 AS pos, speaker AS source, md5(replace(trim(text), chr(10), ' ')) AS target_md5 FROM n")
@@ -59,7 +80,7 @@ def scan_srt_bilingual(spark, sf_dir):
     n = _numbered(spark, sf_dir)
     body = subtitles.block(F.col("number"), F.col("start_ms"), F.col("end_ms"), F.concat("speaker", F.lit("\n"), "text"))
     files = n.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("number", body.alias("b"))))["b"], "\n\n").alias("srt"))
-    return subtitles.bilingual(subtitles.strict(files, "doc_id", "srt")).select("doc_id", "pos", "source", F.md5(F.trim("target").cast("binary")).alias("target_md5"))
+    return subtitles.bilingual(subtitles.strict(_filed(spark, files, "doc_id", "srt"), "doc_id", "srt")).select("doc_id", "pos", "source", F.md5(F.trim("target").cast("binary")).alias("target_md5"))
 
 
 @query(f"WITH {CUES} SELECT doc_id, string_agg(speaker || chr(10) || text, chr(10) || chr(10) ORDER BY idx, speaker, text) AS two_line, string_agg(speaker, chr(10) ORDER BY idx, speaker, text) || chr(10) || string_agg(text, chr(10) ORDER BY idx, speaker, text) AS inline FROM cues WHERE n_words > 0 GROUP BY 1")
@@ -67,7 +88,8 @@ def sink_four_modes(spark, sf_dir):
     """Both tracks as pairs of lines, and one track after the other."""
     rows = F.array_sort(F.collect_list(F.struct("idx", "speaker", "text")))
     g = cues(spark, sf_dir).where("n_words > 0").groupBy("doc_id").agg(rows.alias("r"))
-    return g.select("doc_id", F.array_join(F.transform("r", lambda x: F.concat(x["speaker"], F.lit("\n"), x["text"])), "\n\n").alias("two_line"), F.concat(F.array_join(F.col("r")["speaker"], "\n"), F.lit("\n"), F.array_join(F.col("r")["text"], "\n")).alias("inline"))
+    both = g.select("doc_id", F.array_join(F.transform("r", lambda x: F.concat(x["speaker"], F.lit("\n"), x["text"])), "\n\n").alias("two_line"), F.concat(F.array_join(F.col("r")["speaker"], "\n"), F.lit("\n"), F.array_join(F.col("r")["text"], "\n")).alias("inline"))
+    return _filed(spark, both, "doc_id", "two_line").join(_filed(spark, both, "doc_id", "inline"), "doc_id")
 
 
 @query(f"WITH {UNITS} SELECT idx, start_ms, end_ms, text, CAST(speaker AS VARCHAR) AS speaker, CAST(conf AS DOUBLE) AS confidence, CASE WHEN event_id % 3 > 0 THEN 'en' END AS language FROM units")
@@ -75,43 +97,48 @@ def scan_alignment_tsv(spark, sf_dir):
     """Units written as lines of seven cells and read back; '-' stands for null."""
     u = units(spark, sf_dir).withColumn("language", F.when(F.col("event_id") % 3 > 0, "en"))
     lines = subtitles.units_to_lines(u, [*subtitles.UNIT_COLUMNS, "speaker", "conf", "language"])
-    return subtitles.units_from_lines(lines).drop("mark", "note")
+    return subtitles.units_from_lines(_lines(spark, lines)).drop("mark", "note")
 
 
 @query(f"WITH {UNITS} SELECT CAST(idx AS VARCHAR) || chr(9) || CAST(start_ms AS VARCHAR) || chr(9) || CAST(end_ms AS VARCHAR) || chr(9) || text AS value FROM units")
 def sink_alignment_tsv(spark, sf_dir):
-    return subtitles.units_to_lines(units(spark, sf_dir), subtitles.UNIT_COLUMNS)
+    return _lines(spark, subtitles.units_to_lines(units(spark, sf_dir), subtitles.UNIT_COLUMNS))
 
 
 @query(f"WITH {UNITS} SELECT doc_id, CAST(start_ms AS DOUBLE) AS start, CAST(end_ms AS DOUBLE) AS \"end\", 'speaker_' || CAST(speaker AS VARCHAR) AS speaker FROM units")
 def scan_speaker_turns(spark, sf_dir):
     turn = F.struct(F.col("start_ms").alias("start"), F.col("end_ms").alias("stop"), "speaker")
     files = units(spark, sf_dir).groupBy("doc_id").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("event_id").cast("string"), turn)))).alias("body"))
-    return subtitles.turns(files, "doc_id", "body")
+    return subtitles.turns(_filed(spark, files, "doc_id", "body"), "doc_id", "body")
 
 
 @query("SELECT item_id, md5(text) AS master_md5 FROM benchmark")
 def scan_fenced_master(spark, sf_dir):
     """The block between two fences of a Markdown text."""
     doc = F.concat(F.lit("# notes\n```MASTER_TRANSCRIPT\n"), "text", F.lit("\n```\nmore\n```\nother\n```\n"))
-    got = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_extract(doc, r"(?s)```MASTER_TRANSCRIPT\n(.*?)\n```", 1).alias("master"))
+    files = _filed(spark, table(spark, sf_dir, "benchmark").select("item_id", doc.alias("doc")), "item_id", "doc")
+    got = files.select("item_id", F.regexp_extract("doc", r"(?s)```MASTER_TRANSCRIPT\n(.*?)\n```", 1).alias("master"))
     return got.select("item_id", _md5("master").alias("master_md5"))
 
 
 @query("SELECT event_id, user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def scan_segmentation_material(spark, sf_dir):
-    """Nested JSON of one user's units, read by schema and flattened."""
+    """Nested JSON of one user's units in files, read by schema, failing on a malformed line, and flattened."""
     unit = F.struct("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
     files = table(spark, sf_dir, "events").groupBy("user_id").agg(F.to_json(F.struct(F.lit("text").alias("source_transcript"), F.collect_list(unit).alias("units"))).alias("body"))
-    got = files.select("user_id", F.from_json("body", "source_transcript string, units array<struct<event_id: long, k: long>>").alias("m"))
-    return got.select("user_id", F.inline("m.units")).select("event_id", "user_id", "k")
+    at = _folder(spark)
+    files.select(F.concat(F.lit('{"user_id":'), F.col("user_id").cast("string"), F.lit(","), F.substring("body", F.lit(2), F.length("body")))).write.text(at)
+    got = spark.read.schema("user_id long, source_transcript string, units array<struct<event_id: long, k: long>>").option("mode", "FAILFAST").json(at)
+    return got.select("user_id", F.inline("units")).select("event_id", "user_id", "k")
 
 
 @query("SELECT source, count(*) AS records, CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS chars, count(*) FILTER (text IS NULL OR text = '') AS empty FROM documents GROUP BY 1")
 def sink_jsonl_corpus(spark, sf_dir):
     """The manifest of a corpus of JSON lines, from the lines themselves."""
     lines = table(spark, sf_dir, "documents").select(F.to_json(F.struct("doc_id", "source", "text")).alias("value"))
-    d = lines.select(F.from_json("value", "doc_id long, source string, text string").alias("d")).select("d.*")
+    at = _folder(spark)
+    lines.write.text(at)
+    d = spark.read.schema("doc_id long, source string, text string").option("mode", "FAILFAST").json(at)
     text = F.coalesce("text", F.lit(""))
     return d.groupBy("source").agg(F.count("*").alias("records"), F.sum(F.length(text)).alias("chars"), F.count_if(text == "").alias("empty"))
 
