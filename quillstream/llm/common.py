@@ -80,11 +80,12 @@ def one_per_id(docs: DataFrame) -> DataFrame:
     ids = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     if ids.isEmpty():
         return docs
-    several = docs.join(ids, "doc_id", "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(*[F.col(f"`{c}`").asc_nulls_last() for c in sorted(docs.columns, key=lambda c: (c != "text", c))])
-    first = several.withColumn("_row", F.row_number().over(order)).where("_row = 1").drop("_row")
-    alone = docs.where("doc_id is null").union(docs.where("doc_id is not null").join(ids, "doc_id", "left_anti").select(*docs.columns))
-    return alone.union(first.select(*docs.columns))
+    several, row = docs.join(ids, "doc_id", "left_semi"), fresh(docs, "row")
+    quoted = {c: F.col("`" + c.replace("`", "``") + "`") for c in docs.columns}
+    order = Window.partitionBy("doc_id").orderBy(*[quoted[c].asc_nulls_last() for c in sorted(docs.columns, key=lambda c: (c != "text", c))])
+    first = several.withColumn(row, F.row_number().over(order)).where(F.col(row) == 1).drop(row)
+    alone = docs.where("doc_id is null").union(docs.where("doc_id is not null").join(ids, "doc_id", "left_anti").select(*quoted.values()))
+    return alone.union(first.select(*quoted.values()))
 
 
 def map_texts(df: DataFrame, column: str, fn: Callable[[list[str]], list[pa.Array]], fields: list[T.StructField]) -> DataFrame:
