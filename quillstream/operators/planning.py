@@ -115,7 +115,7 @@ def cuts(units: DataFrame, key: list[str]) -> DataFrame:
     cost = F.when(F.col("breaks"), -25).otherwise(0) + F.when(ended, -90).when(F.col("marks").rlike(rules.CLAUSE), -40).otherwise(0) + F.when(gap >= 400, -80).when(gap >= 200, -40).when(gap >= 80, -15).otherwise(0)
     last_word = F.lower(F.translate(F.expr("try_element_at(english, -1)"), "’", "'"))
     return rows.withColumns({
-        "legal": ~F.coalesce(guarded | place | shared, F.lit(False)), "incomplete": incomplete, "cut_cost": F.when(at("n", 1).isNull(), 0).otherwise(cost).cast("long"),
+        "guarded": F.coalesce(guarded, F.lit(False)), "place": F.coalesce(place, F.lit(False)), "shared": F.coalesce(shared, F.lit(False)), "legal": ~F.coalesce(guarded | place | shared, F.lit(False)), "incomplete": incomplete, "cut_cost": F.when(at("n", 1).isNull(), 0).otherwise(cost).cast("long"),
         "words": F.size("english").cast("long"), "dangling": F.when(F.size("english") > 0, last_word.isin(rules.DANGLING)), "next_start": at("start_ms", 1),
     }).drop("english", "bare")
 

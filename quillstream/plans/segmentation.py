@@ -81,17 +81,19 @@ def _said(values: list[str]) -> str:
     return "(" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + ")"
 
 
-_CUTS = rf"""
+_UNITS = rf"""
 WITH RECURSIVE {SPEECH},
 t AS (SELECT *, regexp_extract(word, '{_MARKS.replace("'", "''")}') AS marks, regexp_replace(word, '{_MARKS.replace("'", "''")}', '') AS text, word AS shown FROM speech),
 e AS (SELECT *, regexp_extract_all(text, '{rules.ENGLISH_WORD.replace("'", "''")}') AS english FROM t),
 b AS (SELECT *, CASE WHEN len(english) = 1 THEN lower(replace(english[1], '’', '''')) ELSE '' END AS bare, len(english) AS words, lower(replace(english[-1], '’', '''')) IN {_said(rules.DANGLING)} AS dangling FROM e),
 c AS (SELECT *, lead(start_ms) OVER w AS next_start, lead(start_ms) OVER w IS NULL AS final, greatest(0, lead(start_ms) OVER w - end_ms) AS gap, regexp_matches(marks, '{rules.TERMINAL}') AS ended,
   coalesce(lag(bare) OVER w, '') AS b0, bare AS b1, coalesce(lead(bare) OVER w, '') AS b2, coalesce(lead(bare, 2) OVER w, '') AS b3, lead(text) OVER w AS next_text, lead(end_ms) OVER w AS next_end FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
-u AS (SELECT *, NOT coalesce(regexp_matches(text, '[-‐‑‒]$') OR (NOT ended AND gap < 400 AND (b2 IN {_said(rules.PARTICLES)} OR concat(b1, ' ', b2) IN {_said(rules.EXPRESSIONS)} OR concat(b0, ' ', b1, ' ', b2) IN {_said(rules.EXPRESSIONS)} OR concat(b1, ' ', b2, ' ', b3) IN {_said(rules.EXPRESSIONS)}))
-    OR (lower(next_text) IN {_said(rules.COUNTRIES)} AND regexp_matches(text, '^[A-Z]') AND contains(marks, ',')) OR (next_start = start_ms AND next_end = end_ms), false) AND NOT (NOT ended AND b1 IN {_said(rules.DEPENDENT)}) AS free,
+u AS (SELECT *, NOT guarded AND NOT place AND NOT shared AND NOT incomplete AS free FROM (SELECT *,
+  coalesce(regexp_matches(text, '[-‐‑‒]$') OR (NOT ended AND gap < 400 AND (b2 IN {_said(rules.PARTICLES)} OR concat(b1, ' ', b2) IN {_said(rules.EXPRESSIONS)} OR concat(b0, ' ', b1, ' ', b2) IN {_said(rules.EXPRESSIONS)} OR concat(b1, ' ', b2, ' ', b3) IN {_said(rules.EXPRESSIONS)})), false) AS guarded,
+  coalesce(lower(next_text) IN {_said(rules.COUNTRIES)} AND regexp_matches(text, '^[A-Z]') AND contains(marks, ','), false) AS place, coalesce(next_start = start_ms AND next_end = end_ms, false) AS shared, NOT ended AND b1 IN {_said(rules.DEPENDENT)} AS incomplete,
   CASE WHEN final THEN 0 ELSE CASE WHEN line_end THEN -25 ELSE 0 END + CASE WHEN ended THEN -90 WHEN regexp_matches(marks, '{rules.CLAUSE}') THEN -40 ELSE 0 END + CASE WHEN gap >= 400 THEN -80 WHEN gap >= 200 THEN -40 WHEN gap >= 80 THEN -15 ELSE 0 END END AS cut_cost,
-  coalesce(sum(CASE WHEN mark THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, idx, speaker ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS grp FROM c),
+  coalesce(sum(CASE WHEN mark THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, idx, speaker ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS grp FROM c))"""
+_CUTS = rf"""{_UNITS},
 g AS (SELECT *, row_number() OVER o AS k, count(*) OVER (PARTITION BY doc_id, idx, speaker, grp) AS size FROM u WINDOW o AS (PARTITION BY doc_id, idx, speaker, grp ORDER BY n)),
 s AS (SELECT a.doc_id, a.idx, a.speaker, a.grp, a.k AS a, z.k AS z, z.n, z.size, z.free, z.cut_cost, any_value(z.end_ms) - any_value(a.start_ms) AS took, sum(length(x.shown) + 1) - 1 AS chars, sum(x.words) AS words, any_value(regexp_matches(z.shown, '[?!？！]$')) AS called,
     sum(len(regexp_extract_all(x.shown, '[A-Za-z]'))) AS letters, sum(len(regexp_extract_all(x.shown, '[\x{{3400}}-\x{{9FFF}}]'))) AS han, arg_max(x.dangling, x.k) FILTER (WHERE x.words > 0) AS dangles
@@ -111,10 +113,31 @@ SELECT d.doc_id, d.idx, d.speaker, CAST(d.grp AS BIGINT) AS grp, CAST(best.cues
 FROM (SELECT DISTINCT doc_id, idx, speaker, grp FROM g) d LEFT JOIN f ON f.doc_id = d.doc_id AND f.idx = d.idx AND f.speaker = d.speaker AND f.grp = d.grp"""
 
 
+def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return speech(spark, sf_dir).withColumns({"text": F.regexp_replace("word", _MARKS, ""), "marks": F.regexp_extract("word", _MARKS, 0), "breaks": F.col("line_end")})
+
+
+def _cut_query(name: str, column: str, sql: str) -> None:
+    """A query of what the rules say of a cut after each word."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        got = planning.cuts(_units(spark, sf_dir), ["doc_id"])
+        return got.withColumn("cost", F.col("cut_cost") + F.when(F.coalesce("dangling", F.lit(False)) & F.col("next_start").isNotNull(), 180).otherwise(0)).select("doc_id", "n", F.col(column))
+
+    query(f"{_UNITS} SELECT doc_id, n, {sql} FROM u", name)(run)
+
+
+_cut_query("fn_shared_envelope", "shared", "shared")
+_cut_query("fn_geo_apposition", "place", "place")
+_cut_query("fn_incomplete_cut", "incomplete", "incomplete")
+_cut_query("fn_lexical_protected", "guarded", "guarded")
+_cut_query("fn_boundary_cost", "cost", "CAST(cut_cost + CASE WHEN coalesce(dangling, false) AND NOT final THEN 180 ELSE 0 END AS BIGINT) AS cost")
+
+
 @query(_CUTS)
 def seg_optimize_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cheapest line breaks of each sentence of a turn, in six cues at most; none where words are too long for a line."""
     turn = Window.partitionBy("doc_id", "idx", "speaker").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    said = speech(spark, sf_dir).withColumns({"text": F.regexp_replace("word", _MARKS, ""), "marks": F.regexp_extract("word", _MARKS, 0), "breaks": F.col("line_end"), "grp": F.coalesce(F.sum(F.col("mark").cast("long")).over(turn), F.lit(0))})
+    said = _units(spark, sf_dir).withColumn("grp", F.coalesce(F.sum(F.col("mark").cast("long")).over(turn), F.lit(0)))
     got = planning.line_breaks(said, ["doc_id"], ["idx", "speaker", "grp"], most_cues=_CUES)
     return got.withColumn("breaks", F.array_join("breaks", ","))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import rules
 from ..functions import text as fn
 from .bindings import CUES, cues, table
 from .registry import query
@@ -13,11 +14,7 @@ KEY = ["doc_id", "idx", "speaker"]
 HAN = r"[\x{3400}-\x{9FFF}]"
 _FINAL = r"[.!?]+[\"')]*$"
 
-# Words that must not end a line, country names and expressions that stay together.
-FUNCTION_END = ["a", "an", "and", "as", "at", "but", "by", "for", "from", "if", "in", "of", "on", "or", "that", "the", "to", "with"]
-COUNTRIES = ["america", "brazil", "canada", "china", "england", "france", "germany", "india", "italy", "japan", "korea", "mexico", "russia", "spain"]
-TOGETHER = [("a", "lot"), ("as", "well"), ("at", "least"), ("each", "other"), ("for", "example"), ("in", "order"), ("of", "course"), ("such", "as")]
-PARTICLES = ["away", "back", "down", "off", "out", "over", "up"]
+# Words that begin a line well.
 LINE_STARTS = ["and", "because", "but", "for", "if", "or", "so", "then", "when", "where", "which", "while", "who", "with"]
 
 # Words of a turn take 400 ms each; a word whose hash says so is followed by a pause, and some are deleted.
@@ -51,7 +48,7 @@ _BARE = "lower(regexp_replace({0}, '[^A-Za-z'']', '', 'g'))"
 
 
 def _list(values: list[str]) -> str:
-    return "(" + ", ".join(f"'{v}'" for v in values) + ")"
+    return "(" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + ")"
 
 
 def words_query(name: str, cols, sql: str, where: str = "") -> None:
@@ -87,9 +84,9 @@ _LAST = f"lead(word) OVER {_IN}) IS NULL"
 words_query(
     "win_boundary_quality",
     lambda: {"quality": F.when(F.col("pos") % 11 == 10, -18).otherwise(0) - F.when(F.col("word").rlike(_FINAL), 12).otherwise(0) - F.expr("0") - F.floor(F.least(_gap(), F.lit(2000)) * 12 / 1000) - F.when(_change(), 100).otherwise(0)
-             + F.when(_next("word").isNotNull() & ~F.col("word").rlike(_FINAL) & _bare(F.col("word")).isin(FUNCTION_END), 1000).otherwise(0)},
+             + F.when(_next("word").isNotNull() & ~F.col("word").rlike(_FINAL) & _bare(F.col("word")).isin(rules.DANGLING), 1000).otherwise(0)},
     rf"""CAST(CASE WHEN pos % 11 = 10 THEN -18 ELSE 0 END - CASE WHEN regexp_matches(word, '{_FINAL.replace("'", "''")}') THEN 12 ELSE 0 END - least({_GAP}, 2000) * 12 // 1000 - CASE WHEN {_CHANGE} THEN 100 ELSE 0 END
-      + CASE WHEN lead(word) OVER {_IN}) IS NOT NULL AND NOT regexp_matches(word, '{_FINAL.replace("'", "''")}') AND {_BARE.format('word')} IN {_list(FUNCTION_END)} THEN 1000 ELSE 0 END AS BIGINT) AS quality""",
+      + CASE WHEN lead(word) OVER {_IN}) IS NOT NULL AND NOT regexp_matches(word, '{_FINAL.replace("'", "''")}') AND {_BARE.format('word')} IN {_list(rules.DANGLING)} THEN 1000 ELSE 0 END AS BIGINT) AS quality""",
 )
 #: Evidence for a seam near a target, in thousandths: distance against, another voice, the pause up to two seconds and quiet for it.
 words_query(
@@ -99,38 +96,12 @@ words_query(
 )
 words_query("filter_low_volume", lambda: {"low": F.least("db", F.coalesce(_next("db"), F.col("db")))}, f"least(db, coalesce(lead(db) OVER {_IN}), db)) AS low", where="low <= -42")
 words_query("filter_active", lambda: {"token": F.col("word")}, "word AS token", where="NOT deleted")
-words_query("fn_shared_envelope", lambda: {"shared": F.coalesce((_next("start_ms") == F.col("start_ms")) & (_next("end_ms") == F.col("end_ms")), F.lit(False))}, f"coalesce(lead(start_ms) OVER {_IN}) = start_ms AND lead(end_ms) OVER {_IN}) = end_ms, false) AS shared")
-words_query(
-    "fn_geo_apposition",
-    lambda: {"apposition": F.coalesce(F.col("word").rlike("^[A-Z].*,$") & _bare(_next("word")).isin(COUNTRIES), F.lit(False))},
-    rf"coalesce(regexp_matches(word, '^[A-Z].*,$') AND {_BARE.format(f'lead(word) OVER {_IN})')} IN {_list(COUNTRIES)}, false) AS apposition",
-)
-words_query(
-    "fn_incomplete_cut",
-    lambda: {"incomplete": F.coalesce(_next("word").isNotNull() & ~F.col("word").rlike(_FINAL) & _bare(F.col("word")).isin(FUNCTION_END), F.lit(False))},
-    rf"""coalesce(lead(word) OVER {_IN}) IS NOT NULL AND NOT regexp_matches(word, '{_FINAL.replace("'", "''")}') AND {_BARE.format('word')} IN {_list(FUNCTION_END)}, false) AS incomplete""",
-)
-#: A cut after a hyphen, before a particle or inside an expression; a sentence's end or a pause of 400 ms lifts the last two.
-words_query(
-    "fn_lexical_protected",
-    lambda: {"guarded": F.coalesce(F.col("word").rlike("-$") & _next("word").isNotNull() | ~F.col("word").rlike(_FINAL) & (_gap() < 400) & (_bare(_next("word")).isin(PARTICLES) | F.concat_ws(" ", _bare(F.col("word")), _bare(_next("word"))).isin([" ".join(t) for t in TOGETHER])), F.lit(False))},
-    rf"""coalesce((regexp_matches(word, '-$') AND lead(word) OVER {_IN}) IS NOT NULL) OR (NOT regexp_matches(word, '{_FINAL.replace("'", "''")}') AND {_GAP} < 400 AND ({_BARE.format(f'lead(word) OVER {_IN})')} IN {_list(PARTICLES)}
-      OR {_BARE.format('word')} || ' ' || {_BARE.format(f'lead(word) OVER {_IN})')} IN {_list([" ".join(t) for t in TOGETHER])})), false) AS guarded""",
-)
-#: In tenths: less for a cut that stands already, for a sentence's or clause's end and for pauses of 400, 200 and 80 ms; more for a dangling word.
-words_query(
-    "fn_boundary_cost",
-    lambda: {"cost": F.when(_next("word").isNull(), 0).otherwise(F.when(F.col("pos") % 8 == 7, -25).otherwise(0) + F.when(F.col("word").rlike(_FINAL), -90).when(F.col("word").rlike("[,;:]$"), -40).otherwise(0)
-             + F.when(_gap() >= 400, -80).when(_gap() >= 200, -40).when(_gap() >= 80, -15).otherwise(0) + F.when(_bare(F.col("word")).isin(FUNCTION_END), 180).otherwise(0))},
-    rf"""CASE WHEN {_LAST} THEN 0 ELSE CASE WHEN pos % 8 = 7 THEN -25 ELSE 0 END + CASE WHEN regexp_matches(word, '{_FINAL.replace("'", "''")}') THEN -90 WHEN regexp_matches(word, '[,;:]$') THEN -40 ELSE 0 END
-      + CASE WHEN {_GAP} >= 400 THEN -80 WHEN {_GAP} >= 200 THEN -40 WHEN {_GAP} >= 80 THEN -15 ELSE 0 END + CASE WHEN {_BARE.format('word')} IN {_list(FUNCTION_END)} THEN 180 ELSE 0 END END AS cost""",
-)
 words_query("fn_unpunctuated_word", lambda: {"bare": F.regexp_replace("word", r"^[.,;:!?\"'()]+|[.,;:!?\"'()]+$", "")}, r"""regexp_replace(word, '^[.,;:!?"''()]+|[.,;:!?"''()]+$', '', 'g') AS bare""")
 words_query(
     "fn_boundary_flags",
-    lambda: {"flags": F.concat_ws(",", F.when(_bare(F.col("word")).isin(FUNCTION_END), F.concat(F.lit("open-end:"), _bare(F.col("word")))), F.when(_bare(F.col("word")).endswith("'s"), F.lit("possessive-head-split")),
+    lambda: {"flags": F.concat_ws(",", F.when(_bare(F.col("word")).isin(rules.DANGLING), F.concat(F.lit("open-end:"), _bare(F.col("word")))), F.when(_bare(F.col("word")).endswith("'s"), F.lit("possessive-head-split")),
              F.when(_bare(F.col("word")).endswith("ing") & _bare(_next("word")).isin("a", "an", "the", "this", "that", "these", "those"), F.lit("verb-object-split")))},
-    rf"""concat_ws(',', CASE WHEN {_BARE.format('word')} IN {_list(FUNCTION_END)} THEN 'open-end:' || {_BARE.format('word')} END, CASE WHEN ends_with({_BARE.format('word')}, '''s') THEN 'possessive-head-split' END,
+    rf"""concat_ws(',', CASE WHEN {_BARE.format('word')} IN {_list(rules.DANGLING)} THEN 'open-end:' || {_BARE.format('word')} END, CASE WHEN ends_with({_BARE.format('word')}, '''s') THEN 'possessive-head-split' END,
       CASE WHEN ends_with({_BARE.format('word')}, 'ing') AND {_BARE.format(f'lead(word) OVER {_IN})')} IN ('a', 'an', 'the', 'this', 'that', 'these', 'those') THEN 'verb-object-split' END) AS flags""",
 )
 #: The place of each unit in the text that the words make without spaces.
