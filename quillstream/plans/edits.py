@@ -75,12 +75,9 @@ stated("project_cue_lines", f"WITH {_C}, r AS (SELECT *, speaker = 'user' AS sou
 stated("project_route_text", "WITH l AS (SELECT 'en' AS lang, 'zh-CN' AS target, true AS source_upper UNION ALL SELECT 'de', 'en', false UNION ALL SELECT 'fr', 'en', true) SELECT d.doc_id, d.lang AS source_language, coalesce(l.source_upper, false) AS source_upper, coalesce(l.target, 'en') AS target_language FROM {documents} d LEFT JOIN l ON d.lang = l.lang")
 
 # --- versions ---
-stated("ver_apply_patch", """WITH up AS (SELECT p_partkey AS id, upper(p_name) AS name, p_size AS size FROM {part} WHERE p_partkey % 7 = 0 UNION ALL SELECT p_partkey + 1000000, 'inserted', 0 FROM {part} WHERE p_partkey % 50 = 0), gone AS (SELECT p_partkey AS id FROM {part} WHERE p_partkey % 11 = 0)
-SELECT id, name, row_number() OVER (ORDER BY id) - 1 AS idx FROM (SELECT coalesce(up.id, p.p_partkey) AS id, coalesce(up.name, p.p_name) AS name FROM {part} p FULL OUTER JOIN up ON p.p_partkey = up.id) x WHERE id NOT IN (SELECT id FROM gone)""")
 stated("ver_restore_fields", """WITH old AS (SELECT p_partkey, lower(p_name) AS name, p_size + 1 AS size FROM {part} WHERE p_partkey % 4 <> 0) SELECT p.p_partkey, CASE WHEN p.p_partkey % 3 = 0 AND o.p_partkey IS NOT NULL THEN o.name ELSE p.p_name END AS name, CASE WHEN p.p_partkey % 5 = 0 AND o.p_partkey IS NOT NULL THEN o.size ELSE p.p_size END AS size,
   p.p_partkey % 15 = 0 AND o.p_partkey IS NULL AS missing FROM {part} p LEFT JOIN old o ON p.p_partkey = o.p_partkey""")
 stated("ver_delta_hash", f"SELECT doc_id, SHA(JOINED(idx || ':' || speaker || ':' || text SEP '|' BY idx, speaker, text)) AS content_hash, count(*) AS cues FROM {{cues}} GROUP BY doc_id")
-stated("source_revision_chain", """WITH s AS (SELECT doc_id, max(idx) AS snapshot FROM {units} WHERE idx % 10 = 0 AND idx <= 7 + doc_id % 20 GROUP BY doc_id) SELECT u.doc_id, u.idx AS revision, u.event_id, u.idx = s.snapshot AS is_snapshot FROM {units} u JOIN s ON u.doc_id = s.doc_id WHERE u.idx >= s.snapshot AND u.idx <= 7 + u.doc_id % 20""")
 stated("manifest_listing", "WITH r AS (SELECT project_id, task_id, row_number() OVER (PARTITION BY project_id ORDER BY created_us, task_id) AS revision FROM {tasks}) SELECT project_id, revision, task_id, max(revision) OVER (PARTITION BY project_id) AS latest, count(*) OVER (PARTITION BY project_id) AS revisions FROM r")
 stated("audit_order_history", "WITH o AS (SELECT doc_id, idx ~/ 20 AS revision, CASE WHEN lag(start_ms) OVER w > start_ms OR lag(end_ms) OVER w > end_ms THEN 1 ELSE 0 END AS issue FROM {units} WINDOW w AS (PARTITION BY doc_id, idx ~/ 20 ORDER BY event_id)) SELECT doc_id, revision, count(*) AS cues, sum(issue) AS issues FROM o GROUP BY doc_id, revision")
 
