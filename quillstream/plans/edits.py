@@ -11,12 +11,6 @@ _K = "doc_id, idx, speaker"
 _BY = "(PARTITION BY doc_id ORDER BY idx, speaker)"
 
 # --- cues ---
-stated("cue_split", f"""WITH {_C}, s AS (SELECT *, n_words ~/ 2 AS k FROM c WHERE NOT deleted AND n_words >= 4)
-SELECT {_K}, 0 AS part, start_ms, start_ms + k * 400 AS end_ms, k AS n_words FROM s UNION ALL SELECT {_K}, 1, start_ms + k * 400, end_ms, n_words - k FROM s""")
-stated("cue_merge", f"""WITH {_C}, n AS (SELECT *, lead(idx) OVER {_BY} AS idx2, lead(text) OVER {_BY} AS text2, lead(end_ms) OVER {_BY} AS end2, lead(target) OVER {_BY} AS target2, lead(status) OVER {_BY} AS status2, lead(grp) OVER {_BY} AS grp2 FROM c WHERE NOT deleted)
-SELECT {_K}, idx2, start_ms, end2 AS end_ms, text || ' ' || text2 AS text, CASE WHEN target = target2 THEN target WHEN target = '' THEN target2 WHEN target2 = '' THEN target ELSE target || ' ' || target2 END AS target,
-  CASE WHEN 'manual_required' IN (status, status2) THEN 'manual_required' WHEN 'needs_review' IN (status, status2) THEN 'needs_review' ELSE 'translated' END AS status, CASE WHEN grp = grp2 THEN 1 ELSE 2 END AS n_groups
-FROM n WHERE idx2 IS NOT NULL AND idx % 4 = 0""")
 stated("cue_reference_script", f"""WITH f AS (SELECT *, CASE WHEN pos = 0 OR lag(word) OVER (PARTITION BY {_K} ORDER BY pos) LIKE '%.' OR lag(word) OVER (PARTITION BY {_K} ORDER BY pos) LIKE '%,' THEN 1 ELSE 0 END AS starts FROM {{words}}),
 r AS (SELECT *, sum(starts) OVER (PARTITION BY {_K} ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cue FROM f)
 SELECT {_K}, cue, min(start_ms) AS start_ms, max(end_ms) AS end_ms, JOINED(word SEP ' ' BY pos) AS text FROM r GROUP BY {_K}, cue""")
