@@ -48,3 +48,30 @@ def longest_matches(units: DataFrame, aliases: DataFrame, key: list[str]) -> Dat
     taken = found.select(*key, "run", F.explode(walked).alias("t")).join(runs.select(*key, "run", "units"), [*key, "run"])
     part = F.slice("units", F.col("t.k"), F.col("t.size"))
     return taken.select(*key, part[0]["n"].alias("first_n"), F.element_at(part, -1)["n"].alias("last_n"), F.col("t.canonical").alias("canonical"), F.array_join(F.transform(part, lambda u: u["text"]), " ").alias("source"))
+
+
+#: Characters of a term's longest word by which words and terms meet.
+GRAM = 4
+
+
+def hits(texts: DataFrame, terms: DataFrame, key: list[str]) -> DataFrame:
+    """(key, term, exact): which terms (term, exact) stand anywhere in a text, in any case unless exact.
+
+    A term without spaces lies within one word of a text, of one with spaces the longest piece does. So terms are looked
+    up in the distinct words of all texts, which words and terms meet by equal stretches of four characters, and what is
+    found goes back to the texts that have the word. Only terms with spaces are then looked up in texts. Empty terms and
+    null texts have no hits.
+    """
+    pieces = F.filter(F.split(F.lower("term"), r"\s+"), lambda p: p != "")
+    piece = F.array_max(F.transform(pieces, lambda p: F.struct(F.length(p).alias("n"), p.alias("p"))))["p"]
+    known = terms.withColumn("_piece", piece).where("_piece IS NOT NULL").withColumns({"_gram": F.expr(f"left(_piece, {GRAM})"), "_spaced": F.col("term").rlike(r"\s")})
+    sizes = sorted(r["n"] for r in known.select(F.length("_gram").alias("n")).distinct().collect())
+    if not sizes:
+        return texts.select(*key, F.lit("").alias("term"), F.lit(False).alias("exact")).where("false")
+    words = texts.where("text IS NOT NULL").select(*key, F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("_word"))
+    grams = F.array_distinct(F.flatten(F.array(*[F.expr(f"if(length(_word) < {n}, cast(array() AS array<string>), transform(sequence(1, length(_word) - {n - 1}), i -> lower(substring(_word, i, {n}))))") for n in sizes])))
+    met = words.select("_word").distinct().select("_word", F.explode(grams).alias("_gram")).join(known, "_gram")
+    held = F.when(F.col("exact") & ~F.col("_spaced"), F.contains("_word", "term")).otherwise(F.contains(F.lower("_word"), "_piece"))
+    found = words.join(met.where(held).select("_word", "term", "exact", "_spaced").distinct(), "_word").select(*key, "term", "exact", "_spaced").distinct()
+    spaced = found.where("_spaced").join(texts.select(*key, "text"), key).where(F.when(F.col("exact"), F.contains("text", "term")).otherwise(F.contains(F.lower("text"), F.lower("term"))))
+    return found.where("NOT _spaced").select(*key, "term", "exact").union(spaced.select(*key, "term", "exact").distinct())

@@ -58,7 +58,6 @@ stated("filter_stale_base", "WITH l AS (SELECT project_id, max(task_id) AS lates
 stated("filter_lease_expired", "WITH x AS (SELECT task_id, state, CASE task_id % 3 WHEN 0 THEN NULL WHEN 1 THEN 'me' ELSE 'other' END AS owner, task_id % 100 AS lease FROM {tasks}) SELECT task_id FROM x WHERE state = 'running' AND (owner IS NULL OR owner <> 'me' OR lease IS NULL OR lease <= 40)")
 stated("filter_revision_page", "SELECT o_orderkey AS revision_number, o_orderstatus AS status FROM {orders} WHERE o_orderkey < 1200 ORDER BY o_orderkey DESC LIMIT 20")
 stated("page_offset", f"SELECT {_K}, 40 AS next_offset FROM (SELECT {_K}, row_number() OVER (ORDER BY doc_id, idx, speaker) AS n FROM {{cues}} ORDER BY doc_id, idx, speaker LIMIT 40) x WHERE n > 20")
-stated("merge_sorted_lists", "SELECT task_id, created_us, kind, row_number() OVER (ORDER BY created_us DESC, task_id DESC, kind) AS place FROM (SELECT task_id, created_us, 'open' AS kind FROM {tasks} WHERE state = 'running' UNION ALL SELECT task_id, created_us, 'urgent' FROM {tasks} WHERE state = 'queued' AND task_type LIKE '1%') x")
 stated("topk_hotwords", "WITH v AS (SELECT lower(p_type) AS form, min(p_partkey) AS pos, least(greatest(max(p_size) ~/ 10, 1), 5) AS weight FROM {part} WHERE length(p_type) <= 60 GROUP BY lower(p_type)) SELECT form, pos, weight FROM v ORDER BY pos LIMIT 20")
 stated("project_reindex", "SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_quantity, l_linenumber) - 1 AS idx FROM {lineitem}")
 stated("project_public_task", "SELECT task_id, project_id, task_type, state, state IN ('succeeded', 'failed', 'cancelled') AS finished, depends_on IS NOT NULL AS waits FROM {tasks}")

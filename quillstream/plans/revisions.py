@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import versions
-from .bindings import table
+from ..operators import numbering, versions
+from .bindings import TASKS, table, tasks
 from .registry import query
 
 _EVERY = 20
@@ -47,3 +47,13 @@ def source_revision_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = at.join(versions.snapshots(log, ["doc_id"], _EVERY), ["doc_id", "snapshot"]).groupBy("doc_id").agg(F.count("*").alias("rows_kept"))
     later = at.join(log.withColumnRenamed("rev", "_rev"), "doc_id").where("_rev > snapshot AND _rev <= rev").groupBy("doc_id").agg(F.count("*").alias("patches"))
     return at.join(rows, "doc_id", "left").join(later, "doc_id", "left").select("doc_id", "rev", "snapshot", F.coalesce("rows_kept", F.lit(0)).alias("rows_kept"), F.coalesce("patches", F.lit(0)).alias("patches"))
+
+
+@query(f"""WITH {TASKS}, l AS (SELECT task_id, created_us, 'open' AS kind FROM tasks WHERE state = 'running' UNION ALL SELECT task_id, created_us, 'urgent' FROM tasks WHERE state = 'queued' AND task_type LIKE '1%')
+SELECT task_id, created_us, kind, row_number() OVER (ORDER BY created_us DESC, task_id DESC, kind) AS place FROM l""")
+def merge_sorted_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two lists of tasks as one, the newest first, with each one's place."""
+    t = tasks(spark, sf_dir)
+    part = lambda where, kind: t.where(where).select("task_id", "created_us", F.lit(kind).alias("kind"))
+    both = part("state = 'running'", "open").union(part("state = 'queued' AND task_type LIKE '1%'", "urgent"))
+    return numbering.numbered(both, [F.col("created_us").desc(), F.col("task_id").desc(), F.col("kind")])

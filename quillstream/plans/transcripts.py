@@ -137,3 +137,12 @@ def aln_phonetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = cues(spark, sf_dir).select(*key, sentences.alias("s")).where(F.size("s") > 1).select(*key, F.explode(F.expr("transform(sequence(1, size(s) - 1), k -> named_struct('k', cast(k - 1 AS bigint), 'a', s[k - 1], 'b', s[k]))")).alias("p"))
     spans = pairs.select(*key, "p.k", words(F.col("p.a")).alias("a"), words(F.col("p.b")).alias("b"))
     return transcripts.aligned(spans).select(*key, "k", "cost", "steps")
+
+
+@query(r"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]{7,}')) AS term FROM benchmark), t AS (SELECT term, regexp_matches(term, '^[A-Z]') AS exact FROM w)
+SELECT DISTINCT d.doc_id, t.term, t.exact FROM documents d JOIN t ON CASE WHEN t.exact THEN contains(d.text, t.term) ELSE contains(lower(d.text), lower(t.term)) END""")
+def filter_glossary_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark's longer words that stand in a document's text; capitalised ones as they are written."""
+    words = F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{7,}"), F.lit(0)))
+    terms = table(spark, sf_dir, "benchmark").select(words.alias("term")).distinct().withColumn("exact", F.col("term").rlike("^[A-Z]"))
+    return glossary.hits(table(spark, sf_dir, "documents").select("doc_id", "text"), terms, ["doc_id"])

@@ -80,7 +80,6 @@ stated("import_clean_document", f"WITH e AS (SELECT {_K}, replace(replace(replac
 stated("import_srt_commit", f"WITH {_C}, p AS (SELECT {_K}, 'imported ' || idx AS target, idx % 3 <> 2 AS importable FROM c) SELECT c.doc_id, c.idx, c.speaker, CASE WHEN p.importable AND NOT c.deleted THEN p.target ELSE c.target END AS target FROM c JOIN p ON c.doc_id = p.doc_id AND c.idx = p.idx AND c.speaker = p.speaker")
 stated("glossary_library_normalize", "WITH g AS (SELECT DISTINCT p_brand AS id FROM {part} WHERE p_size % 7 <> 0), e AS (SELECT p_partkey, p_brand, trim(p_name) AS source FROM {part}) SELECT e.p_partkey, e.p_brand, e.source FROM e WHERE e.source <> '' AND length(e.source) <= 200 AND EXISTS (SELECT 1 FROM g WHERE g.id = e.p_brand)")
 stated("filter_glossary_active", "WITH allowed AS (SELECT DISTINCT p_brand AS id FROM {part} WHERE p_size > 45) SELECT p.p_partkey, p.p_brand FROM {part} p JOIN allowed a ON p.p_brand = a.id WHERE p.p_size % 2 = 0 AND p.p_partkey % 3 <> 0")
-stated("filter_glossary_hit", "WITH t AS (SELECT 'the' AS term, false AS exact UNION ALL SELECT 'License', true UNION ALL SELECT 'license', false UNION ALL SELECT 'und', true) SELECT d.doc_id, t.term, t.exact FROM {documents} d JOIN t ON CASE WHEN t.exact THEN strpos(d.text, t.term) > 0 ELSE strpos(lower(d.text), lower(t.term)) > 0 END".replace("strpos(", "instr("))
 stated("set_hotword_normalize", "WITH n AS (SELECT lower(p_type) AS form, p_size, row_number() OVER (PARTITION BY lower(p_type) ORDER BY p_partkey) AS k FROM {part}), f AS (SELECT form, CASE WHEN p_size BETWEEN 1 AND 5 OR p_size = 50 THEN p_size ELSE 3 END AS weight FROM n WHERE k = 1) SELECT form, CASE WHEN weight = 50 AND row_number() OVER (PARTITION BY weight ORDER BY form) > 2 THEN 5 ELSE weight END AS weight FROM f")
 stated("fn_entry_normalize", "SELECT p_partkey, trim(p_name) AS source, CASE WHEN p_type LIKE '%BRASS%' THEN 'term' WHEN p_type LIKE '%STEEL%' THEN 'name' ELSE 'other' END AS kind, least(greatest(p_size ~/ 8, 1), 5) AS weight FROM {part}")
 stated("style_apply", f"WITH {_C}, a AS (SELECT {_K}, CASE WHEN idx % 6 = 0 THEN 'bold' WHEN idx % 6 = 3 THEN NULL ELSE 'plain' END AS style FROM c), u AS (SELECT style, count(*) AS used FROM a WHERE style IS NOT NULL GROUP BY style) SELECT a.doc_id, a.idx, a.speaker, a.style, u.used FROM a LEFT JOIN u ON a.style = u.style")

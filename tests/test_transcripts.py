@@ -195,3 +195,12 @@ def test_aligned_by_force(spark):
 def test_sound_keys(spark):
     got = spark.createDataFrame([("Píng",), ("pīng",), ("nǚ",), ("don't",), ("平",), ("",)], "w string").select(transcripts.sound_key(F.col("w")).alias("s")).collect()
     assert [r.s for r in got] == ["ping", "ping", "nv", None, None, None]
+
+
+def test_hits_by_force(spark):
+    rng = random.Random(9)
+    texts = {k: "".join(rng.choice("abAB é\n") for _ in range(rng.randint(0, 40))) for k in range(150)} | {900: None, 901: ""}
+    terms = {("".join(rng.choice("abA é") for _ in range(rng.randint(0, 6))), rng.random() < 0.5) for _ in range(80)}
+    got = glossary.hits(spark.createDataFrame(list(texts.items()), "k int, text string"), spark.createDataFrame(sorted(terms), "term string, exact boolean"), ["k"])
+    want = {(k, t, e) for k, text in texts.items() for t, e in terms if text and t.strip() and (t in text if e else t.lower() in text.lower())}
+    assert {tuple(r) for r in got.collect()} == want and got.count() == len(want) > 200
