@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fn
 from ..operators import intervals as ivl
+from ..operators.once import once
 from .bindings import CUES, TASKS, UNITS, cues, micros, table, tasks, units
 from .registry import ORACLE_SQL, QUERIES, before, by_doc, by_speaker, query, units_query
 
@@ -209,7 +210,7 @@ def join_ngram_overlap(spark, sf_dir):
     """
 
     def grams(name, key):
-        t = table(spark, sf_dir, name).select(key, F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)).alias("w")).where("size(w) >= 6")
+        t = once(table(spark, sf_dir, name).select(key, "text"), w=F.transform(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)), lambda x: F.xxhash64(x))).where("size(w) >= 6")
         own = lambda i: F.struct(F.xxhash64(F.slice("w", i, 6)).alias("g"), F.xxhash64(F.lit(1), F.slice("w", i, 6)).alias("g2"))
         return t.select(key, F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 5), own)).alias("x")).select(key, "x.g", "x.g2")
 
