@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import cues as ops
+from ..operators import intervals as ivl
 from .registry import query
 from .segmentation import SPEECH, speech
 
@@ -50,3 +51,44 @@ def cue_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each turn of a user merged with the reply behind it."""
     got = ops.merge(turns(spark, sf_dir), ["doc_id"], "k", F.col("speaker") == "user")
     return got.withColumn("sources", F.array_join(F.col("sources").cast("array<string>"), ","))
+
+
+_LONG, _WORDS, _BIN = 5, 8, 5000
+#: Sentences of five words and more are kept, one after the other; cues are eight words each, wherever sentences end.
+_KEPT = f"""{SPEECH}, numbered AS (SELECT *, coalesce(sum(CASE WHEN mark THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sentence, n // {_WORDS} AS cue FROM speech),
+kept AS (SELECT *, coalesce(sum(b - a) OVER (PARTITION BY doc_id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM (SELECT doc_id, CAST(sentence AS BIGINT) AS kept, min(start_ms) AS a, max(end_ms) AS b FROM numbered GROUP BY doc_id, sentence HAVING count(*) >= {_LONG}))"""
+
+
+def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    before = Window.partitionBy("doc_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    return speech(spark, sf_dir).withColumns({"sentence": F.coalesce(F.sum(F.col("mark").cast("long")).over(before), F.lit(0)), "cue": F.expr(f"n div {_WORDS}")})
+
+
+def _kept(words: DataFrame) -> DataFrame:
+    rows = words.groupBy("doc_id", F.col("sentence").alias("kept")).agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count("*").alias("words")).where(F.col("words") >= _LONG).drop("words")
+    before = Window.partitionBy("doc_id").orderBy("start_ms").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("base", F.coalesce(F.sum(F.col("end_ms") - F.col("start_ms")).over(before), F.lit(0)))
+
+
+@query(f"""WITH {_KEPT}, c AS (SELECT doc_id, cue, min(start_ms) AS s, max(end_ms) AS e FROM numbered GROUP BY doc_id, cue)
+SELECT c.doc_id, cue, kept, CAST(base + greatest(s, a) - a AS BIGINT) AS out_start, CAST(base + least(e, b) - a AS BIGINT) AS out_end, s < a OR e > b AS partial, row_number() OVER (PARTITION BY c.doc_id ORDER BY base + greatest(s, a) - a, cue) - 1 AS idx FROM c JOIN kept k ON k.doc_id = c.doc_id AND s < b AND a < e""")
+def ivl_projected_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cues on the timeline that only the kept sentences make, in pieces where they reach over an edge; cues and sentences meet by bins of time."""
+    words = _numbered(spark, sf_dir)
+    cues = words.groupBy("doc_id", "cue").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
+    hit = ivl.overlaps(cues, _kept(words), ["doc_id"], _BIN)
+    shift = F.col("o_base") - F.col("o_start_ms")
+    out = hit.select("doc_id", "cue", F.col("o_kept").alias("kept"), (F.greatest("start_ms", "o_start_ms") + shift).cast("long").alias("out_start"), (F.least("end_ms", "o_end_ms") + shift).cast("long").alias("out_end"), ((F.col("start_ms") < F.col("o_start_ms")) | (F.col("end_ms") > F.col("o_end_ms"))).alias("partial"))
+    return out.withColumn("idx", (F.row_number().over(Window.partitionBy("doc_id").orderBy("out_start", "cue")) - 1).cast("long"))
+
+
+@query(f"""WITH {_KEPT}, v AS (SELECT w.doc_id, w.cue, k.kept, count(*) AS visible, string_agg(word, ' ' ORDER BY n) AS text, min(greatest(start_ms, a)) AS start_ms, max(least(end_ms, b)) AS end_ms FROM numbered w JOIN kept k ON k.doc_id = w.doc_id AND w.start_ms < b AND a < w.end_ms GROUP BY w.doc_id, w.cue, k.kept)
+SELECT v.*, v.visible < (SELECT count(*) FROM numbered n WHERE n.doc_id = v.doc_id AND n.cue = v.cue) AS partial FROM v""")
+def kept_material_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each kept sentence shows of each cue: its words, their clipped times, and whether some are missing."""
+    words = _numbered(spark, sf_dir)
+    hit = ivl.overlaps(words.select("doc_id", "cue", "n", "word", "start_ms", "end_ms"), _kept(words), ["doc_id"], _BIN)
+    shown = hit.groupBy("doc_id", "cue", F.col("o_kept").alias("kept")).agg(F.count("*").alias("visible"), F.array_join(F.sort_array(F.collect_list(F.struct("n", "word")))["word"], " ").alias("text"),
+                                                                           F.min(F.greatest("start_ms", "o_start_ms")).alias("start_ms"), F.max(F.least("end_ms", "o_end_ms")).alias("end_ms"))
+    whole = words.groupBy("doc_id", "cue").agg(F.count("*").alias("_all"))
+    return shown.join(whole, ["doc_id", "cue"]).withColumn("partial", F.col("visible") < F.col("_all")).drop("_all")

@@ -82,8 +82,6 @@ stated("ivl_unit_nonoverlap", "WITH n AS (SELECT *, lag(end_ms) OVER (PARTITION
 stated("ivl_collapse_zero", """WITH z AS (SELECT doc_id, idx, speaker, start_ms, CASE WHEN idx % 4 = 1 THEN start_ms ELSE end_ms END AS end_ms FROM {cues}), g AS (SELECT *, greatest(sum(CASE WHEN end_ms > start_ms THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY idx, speaker ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1) AS span FROM z)
 SELECT doc_id, span, min(idx) AS first_idx, max(idx) AS last_idx, min(start_ms) AS start_ms, max(end_ms) AS end_ms FROM g GROUP BY doc_id, span""")
 stated("ivl_restore_gap", f"""WITH {_C}, cut AS (SELECT doc_id, idx, start_ms, end_ms FROM c WHERE idx % 3 = 1 AND end_ms - start_ms > 1000) SELECT doc_id, idx, 'left' AS part, start_ms, start_ms + 200 AS end_ms FROM cut UNION ALL SELECT doc_id, idx, 'right', start_ms + 800, end_ms FROM cut""")
-stated("ivl_projected_cues", f"""WITH {_C}, k AS (SELECT doc_id, idx AS kept, start_ms AS a, end_ms AS b, coalesce(sum(end_ms - start_ms) OVER (PARTITION BY doc_id ORDER BY idx, speaker ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM c WHERE idx % 3 <> 1),
-i AS (SELECT doc_id, idx, start_ms + 700 AS s, end_ms + 700 AS e FROM c) SELECT i.doc_id, i.idx, k.kept, k.base + greatest(i.s, k.a) - k.a AS out_start, k.base + least(i.e, k.b) - k.a AS out_end FROM i JOIN k ON i.doc_id = k.doc_id AND i.s < k.b AND k.a < i.e""")
 stated("win_context_overlap", f"WITH n AS (SELECT doc_id, idx, speaker, start_ms, end_ms, row_number() OVER w AS k, count(*) OVER (PARTITION BY doc_id) AS n FROM {{cues}} WINDOW w AS (PARTITION BY doc_id ORDER BY idx, speaker)) SELECT {_K}, CASE WHEN k = 1 THEN start_ms ELSE start_ms - 500 END AS window_start, CASE WHEN k = n THEN end_ms ELSE end_ms + 500 END AS window_end FROM n")
 stated("win_balanced_targets", "WITH d AS (SELECT doc_id, min(start_ms) AS a, max(end_ms) AS b, (max(end_ms) - min(start_ms)) ~/ 30000 + 1 AS n, 1 AS one FROM {cues} GROUP BY doc_id), t AS (SELECT doc_id, a, b, SERIES(one TO n) AS k FROM d) SELECT doc_id, k, a + k * 30000 AS target_ms FROM t WHERE a + k * 30000 < b AND b - (a + k * 30000) >= 7500")
 

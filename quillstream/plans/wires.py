@@ -52,8 +52,6 @@ stated("logical_rows", f"""WITH s AS (SELECT {_K}, pos AS a, pos + 2 AS b, 'span
 FROM {{words}} w LEFT JOIN s ON w.doc_id = s.doc_id AND w.idx = s.idx AND w.speaker = s.speaker AND w.pos = s.a WHERE NOT (w.pos % 8 IN (4, 5) AND w.pos >= 4)""")
 stated("display_token_build", f"""WITH s AS (SELECT {_K}, pos ~/ 4 AS span, 'first' AS source, 1 AS rank FROM {{words}} WHERE pos % 4 = 0 UNION ALL SELECT {_K}, pos ~/ 4, 'second', 2 FROM {{words}} WHERE pos % 12 = 0), b AS (SELECT *, row_number() OVER (PARTITION BY {_K}, span ORDER BY rank DESC) AS k FROM s)
 SELECT w.doc_id, w.idx, w.speaker, b.span, max(b.source) AS source, JOINED(w.word SEP ' ' BY w.pos) AS text, count(*) AS tokens FROM {{words}} w JOIN b ON w.doc_id = b.doc_id AND w.idx = b.idx AND w.speaker = b.speaker AND w.pos ~/ 4 = b.span WHERE b.k = 1 GROUP BY w.doc_id, w.idx, w.speaker, b.span""")
-stated("kept_material_view", f"""WITH {_C}, k AS (SELECT doc_id, idx AS kept, start_ms AS a, end_ms AS b FROM c WHERE idx % 3 <> 1), w AS (SELECT doc_id, idx, speaker, pos, word, start_ms + 700 AS s, end_ms + 700 AS e FROM {{words}})
-SELECT w.doc_id, w.idx, w.speaker, k.kept, count(*) AS visible, JOINED(w.word SEP ' ' BY w.pos) AS text, min(greatest(w.s, k.a)) AS start_ms, max(least(w.e, k.b)) AS end_ms FROM w JOIN k ON w.doc_id = k.doc_id AND w.s < k.b AND k.a < w.e GROUP BY w.doc_id, w.idx, w.speaker, k.kept""")
 stated("split_material", f"WITH n AS (SELECT *, row_number() OVER {_W} AS place, count(*) OVER (PARTITION BY {_K}) AS n FROM {{words}} WHERE NOT deleted) SELECT {_K}, max(n) AS tokens, count(DISTINCT pos) AS different, min(start_ms) AS start_ms, max(end_ms) AS end_ms, SHA(JOINED(pos || ':' || word SEP ' ' BY pos)) AS fingerprint FROM n GROUP BY {_K}")
 stated("split_apply", f"""WITH f AS (SELECT *, CASE WHEN pos % 6 = 0 THEN 1 ELSE 0 END AS starts FROM {{words}} WHERE NOT deleted), r AS (SELECT *, sum(starts) OVER {_UP} AS cue FROM f)
 SELECT {_K}, cue, min(pos) AS first_pos, max(pos) AS last_pos, min(start_ms) AS start_ms, max(end_ms) AS end_ms, JOINED(word SEP ' ' BY pos) AS text FROM r GROUP BY {_K}, cue""")
