@@ -57,3 +57,23 @@ def retry_backoff(attempt: Column, most: int = 60) -> Column:
 
 def safe_filename(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r'[\\/:*?"<>|\x00-\x1F]+', "_"), r"[ .]+$", "")
+
+
+#: Scripts that a track's language is told from, as their letters' classes; letters of scripts that aren't named count as one more.
+SCRIPTS = {"zh": "Han", "ja": "Hiragana|Katakana", "ko": "Hangul", "latin": "Latin", "greek": "Greek", "cyrillic": "Cyrillic", "arabic": "Arabic", "hebrew": "Hebrew", "thai": "Thai", "devanagari": "Devanagari"}
+
+
+def cue_language(text: Column, hint: Column) -> Column:
+    """The language of a displayed track by its letters' scripts: zh, ja, ko, en, mixed or other; a hint decides where there are none or Latin ones."""
+    named = "".join(rf"\p{{Is{s}}}" for own in SCRIPTS.values() for s in own.split("|"))
+    h = F.lower(F.regexp_replace(F.coalesce(hint, F.lit("")), "_", "-"))
+    has = {k: text.rlike("[" + "".join(rf"\p{{Is{s}}}" for s in own.split("|")) + r"&&[\p{L}]]") for k, own in SCRIPTS.items()} | {"rest": text.rlike(rf"[\p{{L}}&&[^{named}]]")}
+    others = [has[k] for k in has if k not in ("zh", "ja")]
+    only_han = has["zh"] & ~has["ja"] & ~F.greatest(*others)
+    ja = has["ja"] | h.startswith("ja") & only_han
+    zh = has["zh"] & ~ja & ~has["ko"]
+    found = {**has, "ja": ja, "zh": zh}
+    n = sum((found[k].cast("int") for k in found), F.lit(0))
+    silent = F.when(h.isin("zh", "zh-cn"), "zh").when(h.isin("en", "ja", "ko"), h).otherwise("other")
+    latin = F.when(h.isin("", "auto", "automatic", "mixed", "en", "zh", "zh-cn", "ja", "ko"), "en").otherwise("other")
+    return F.when(n > 1, "mixed").when(n == 0, silent).when(found["latin"], latin).when(zh, "zh").when(ja, "ja").when(found["ko"], "ko").otherwise("other")
