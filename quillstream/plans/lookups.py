@@ -68,7 +68,7 @@ def fn_cue_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", fn.cue_language(F.col("text"), F.when(F.col("lang") == "en", "").otherwise(F.col("lang"))).alias("language"))
 
 
-@query(f"WITH {SPEECH} SELECT doc_id, n, start_ms AS srt_ms, (start_ms + 5) // 10 * 10 AS ass_ms, CAST(NULL AS BIGINT) AS bad FROM speech")
+@query(f"WITH {SPEECH} SELECT doc_id, n, start_ms AS srt_ms, CAST(round_even(start_ms / 10.0, 0) AS BIGINT) * 10 AS ass_ms, CAST(NULL AS BIGINT) AS bad FROM speech")
 def fn_parse_stamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Times of words as stamps of both kinds, read back; a stamp without its hours is none."""
     s = speech(spark, sf_dir)
