@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import snapping
-from ..sources import documents
+from ..sources import documents, provider
 from ..streaming.events import shared_dir
 from .bindings import table
 from .registry import query
@@ -70,3 +70,22 @@ def cue_smart_snap(spark: SparkSession, sf_dir: str) -> DataFrame:
     levels = e.select(F.col("vec_id").alias("doc_id"), F.posexplode("embedding").alias("k", "x")).select("doc_id", "k", F.abs("x").alias("rms"))
     cues = e.select(F.col("vec_id").alias("doc_id"), F.lit(0).alias("cue"), (F.coalesce("label", F.lit(0)) * 20 + 250).cast("long").alias("start_ms"), F.lit(0).cast("long").alias("minimum_ms"))
     return snapping.snapped(levels, cues, ["doc_id"])
+
+
+@query(f"""WITH {SPEECH}, w AS (SELECT *, sum(CASE WHEN mark THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, idx, speaker ORDER BY n) - CASE WHEN mark THEN 1 ELSE 0 END AS s FROM speech),
+d AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY idx, speaker, s) - 1 AS sentence FROM w)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS idx, sentence, start_ms / 1000::DOUBLE AS start_s, end_ms / 1000::DOUBLE AS end_s, word AS text, speaker,
+  row_number() OVER (PARTITION BY doc_id, sentence ORDER BY n) = 1 AS sentence_start, row_number() OVER (PARTITION BY doc_id, sentence ORDER BY n DESC) = 1 AS sentence_end FROM d""")
+def scan_provider_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as response files of a speech service, one a conversation, read back as units."""
+    words = speech(spark, sf_dir).withColumn("s", F.sum(F.col("mark").cast("int")).over(Window.partitionBy("doc_id", "idx", "speaker").orderBy("n")) - F.col("mark").cast("int"))
+    marks = F.regexp_extract("word", r"[,.;:!?]*$", 0)
+    word = F.struct(F.col("start_ms").alias("begin_time"), F.col("end_ms").alias("end_time"), F.expr("left(word, length(word) - length(regexp_extract(word, '[,.;:!?]*$', 0)))").alias("text"), marks.alias("punctuation"))
+    sentences = words.groupBy("doc_id", "idx", "speaker", "s").agg(F.min("start_ms").alias("begin_time"), F.max("end_ms").alias("end_time"), F.sort_array(F.collect_list(F.struct("n", word.alias("w"))))["w"].alias("words"))
+    sentence = F.struct("begin_time", "end_time", F.lit("").alias("language"), F.col("speaker").alias("speaker_id"), "words")
+    turns = sentences.groupBy("doc_id", "idx", "speaker").agg(F.sort_array(F.collect_list(F.struct("s", sentence.alias("x"))))["x"].alias("sentences"))
+    docs = turns.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("idx", "speaker", F.struct(F.lit("").alias("text"), "sentences").alias("t"))))["t"].alias("transcripts"))
+    at = _folder(spark)
+    docs.write.partitionBy("doc_id").json(at)
+    units, _ = provider.read_words(spark, at)
+    return units.select(F.regexp_extract("file", "doc_id=([0-9]+)", 1).cast("long").alias("doc_id"), "idx", "sentence", "start_s", "end_s", "text", "speaker", "sentence_start", "sentence_end")
