@@ -22,9 +22,9 @@ def fn_clean_sentence_punct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(lexical.without_punctuation(F.col("text")), 256).alias("cleaned_sha256"))
 
 
-@query("SELECT o_orderkey, CAST(o_orderkey * 1009 + o_custkey AS BIGINT) AS value, CAST(o_totalprice AS DECIMAL(18, 2)) AS price FROM orders")
+@query("SELECT o_orderkey, CAST(o_orderkey * 1009 + o_custkey AS BIGINT) AS value, CAST(CAST(o_totalprice AS DECIMAL(18, 2)) AS DOUBLE) AS price FROM orders")
 def fn_written_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order numbers written in numerals and prices written with grouping commas, read back; the SQL has the numbers themselves."""
     o = table(spark, sf_dir, "orders")
     said, price = lexical.numerals(F.col("o_orderkey") * 1009 + F.col("o_custkey")), F.format_number(F.col("o_totalprice").cast("decimal(18,2)"), 2)
-    return o.select("o_orderkey", lexical.written_number(said).cast("long").alias("value"), lexical.written_number(price).cast("decimal(18,2)").alias("price"))
+    return o.select("o_orderkey", lexical.written_number(said).cast("long").alias("value"), lexical.written_number(price).cast("double").alias("price"))
