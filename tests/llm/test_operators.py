@@ -215,15 +215,19 @@ def test_sql_agrees(spark, rows, tmp_path):
     unique = list({r[0]: (*r[:2], "x" if r[3] is None else r[3]) for r in rows if r[0] is not None}.values())
     extra = [(2000, "Released under the MIT License. cc by nc 4", "s0"), (2001, "under the mit license under the mit license", "s0"), (2002, "This work is licensed under\nthe GNU General Public License, version 3", "s1"),
              (2003, "work licensed under the GNU General Public License: version 3", "s1")]
-    spark.createDataFrame(unique + extra, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    langs = [(*r, ["en", "fr", None][r[0] % 3]) for r in unique + extra]
+    spark.createDataFrame(langs, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    rng = random.Random(8)
+    vectors = [(i, [rng.gauss(0, 1) for _ in range(6)] if i % 5 else None, rng.randrange(4) if i % 9 else None) for i in range(301)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     c = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
     for name, sql in ORACLE_SQL.items():
         a, b = queries.QUERIES[name](spark, str(tmp_path)).toPandas(), c.sql(sql).df()
         assert set(a.columns) == set(b.columns), name
-        key = a.columns[0]
+        key = [a.columns[0], *sorted(a.columns)]
         a, b = (x[sorted(a.columns)].sort_values(key).reset_index(drop=True) for x in (a, b))
         pd.testing.assert_frame_equal(a, b, check_dtype=False, obj=name)
 
