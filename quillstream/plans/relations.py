@@ -117,7 +117,7 @@ def join_covering_group(spark, sf_dir):
     """The first block whose envelope holds the whole unit."""
     u = units(spark, sf_dir)
     g = u.groupBy("doc_id", F.floor(F.col("idx") / 5).alias("block")).agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
-    hit = ivl.overlaps(u, g, ["doc_id"], 24 * HOUR).where("o_start_ms <= start_ms AND end_ms <= o_end_ms")
+    hit = ivl.covers(u, g, ["doc_id"], 24 * HOUR)
     return hit.groupBy("event_id").agg(F.min("o_block").alias("block"))
 
 
