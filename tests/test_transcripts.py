@@ -10,6 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillstream.operators import glossary, transcripts
+from quillstream.plans import QUERIES
+
+SF = "/root/testdata/sf0.001"
 
 TOKEN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ0-9]+(?:['’][A-Za-zÀ-ÖØ-öø-ÿ0-9]+)*|[㐀-鿿぀-ヿ가-힯]")
 
@@ -204,3 +207,22 @@ def test_hits_by_force(spark):
     got = glossary.hits(spark.createDataFrame(list(texts.items()), "k int, text string"), spark.createDataFrame(sorted(terms), "term string, exact boolean"), ["k"])
     want = {(k, t, e) for k, text in texts.items() for t, e in terms if text and t.strip() and (t in text if e else t.lower() in text.lower())}
     assert {tuple(r) for r in got.collect()} == want and got.count() == len(want) > 200
+
+
+def exchanges(df) -> int:
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_located_moves_texts_once(spark):
+    """Masters and parts cross the network as texts, not token by token with a master beside each part."""
+    assert exchanges(QUERIES["aln_locate_spans"](spark, SF)) <= 4
+
+
+def test_chain_by_force():
+    rng = random.Random(3)
+    for _ in range(300):
+        own, window = ([rng.choice("abcd") for _ in range(rng.randrange(7))] for _ in range(2))
+        first, last, got = transcripts.chain(own, window)
+        ways = [js for r in range(len(own) + 1) for at in itertools.combinations(range(len(own)), r) for js in itertools.combinations(range(len(window)), r) if all(own[i] == window[j] for i, j in zip(at, js, strict=True))]
+        longest = max(map(len, ways))
+        assert got == longest and (not got or any(w[0] == first and w[-1] == last for w in ways if len(w) == longest) and last == min(w[-1] for w in ways if len(w) == longest))
