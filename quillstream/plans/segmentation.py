@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..operators import planning
-from .bindings import table
+from .bindings import spread, table
 from .registry import query
 
 _MARK, _PAUSE = r"[.!?][\"')]*$", r"[,;:]$"
@@ -15,7 +15,7 @@ _MARK, _PAUSE = r"[.!?][\"')]*$", r"[,;:]$"
 
 def speech(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words of each conversation as they would be spoken: a word takes 120 ms and 45 a character, and marks are followed by pauses."""
-    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("idx"), F.col("role").alias("speaker"), "text")
+    c = spread(table(spark, sf_dir, "conversations"), "conv_id").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("idx"), F.col("role").alias("speaker"), "text")
     w = c.select("doc_id", "idx", "speaker", F.posexplode(F.regexp_extract_all("text", F.lit(r"[^\s]+\n?"), F.lit(0))).alias("pos", "word"))
     w = w.withColumn("line_end", F.col("word").endswith("\n")).withColumn("word", F.regexp_replace("word", "\n", ""))
     took = F.length("word") * 45 + 120
