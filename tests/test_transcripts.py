@@ -226,3 +226,22 @@ def test_chain_by_force():
         ways = [js for r in range(len(own) + 1) for at in itertools.combinations(range(len(own)), r) for js in itertools.combinations(range(len(window)), r) if all(own[i] == window[j] for i, j in zip(at, js, strict=True))]
         longest = max(map(len, ways))
         assert got == longest and (not got or any(w[0] == first and w[-1] == last for w in ways if len(w) == longest) and last == min(w[-1] for w in ways if len(w) == longest))
+
+
+@pytest.mark.parametrize("name", ["aln_merge_overlap", "aln_merged_text"])
+def test_seams_stay_in_their_rows(spark, name):
+    assert exchanges(QUERIES[name](spark, SF)) == 0
+
+
+def test_seam_by_force():
+    rng = random.Random(5)
+    for _ in range(300):
+        a, b = ([rng.choice("abc") for _ in range(rng.randrange(8))] for _ in range(2))
+        runs = []
+        for i, j in itertools.product(range(len(a)), range(len(b))):
+            if a[i] == b[j] and not (i and j and a[i - 1] == b[j - 1]):
+                size = next(k for k in range(1, 9) if i + k >= len(a) or j + k >= len(b) or a[i + k] != b[j + k])
+                away = len(a) - i - size + j
+                runs.append((size * (len(a) + len(b)) - 3 * away, -i, -j, size, away))
+        want = max(runs, default=None)
+        assert transcripts.seam(a, b) == (want and (want[3], -want[1], -want[2], want[4]))
