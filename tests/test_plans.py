@@ -72,3 +72,8 @@ def test_units_without_length(spark, tmp_path, name):
     c.execute(f"COPY (SELECT * REPLACE (CASE WHEN event_id % 3 = 0 THEN 0.0 ELSE value * 9 END AS value) FROM '{SF}/events.parquet') TO '{tmp_path}/events.parquet'")
     c.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
     assert rows(QUERIES[name](spark, str(tmp_path)).toPandas()) == rows(c.sql(ORACLE_SQL[name]).df())
+
+
+def test_span_statistics_of_rows(spark):
+    """Spans are measured as they stand, without a row for each place that they cover."""
+    assert "Generate" not in QUERIES["agg_span_statistics"](spark, SF)._jdf.queryExecution().executedPlan().toString()
