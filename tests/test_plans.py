@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillstream.functions import text as fn
 from quillstream.operators import intervals
-from quillstream.plans import ORACLE_SQL, QUERIES
+from quillstream.plans import ORACLE_SQL, QUERIES, bindings
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -77,3 +77,12 @@ def test_units_without_length(spark, tmp_path, name):
 def test_span_statistics_of_rows(spark):
     """Spans are measured as they stand, without a row for each place that they cover."""
     assert "Generate" not in QUERIES["agg_span_statistics"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["fallback_timing", "sentence_by_overlap", "wire_segment_request", "scan_provider_words"])
+def test_turns_are_parted_by_number(spark, monkeypatch, name):
+    """A table of more turns is read by more tasks, however many a shuffle has."""
+    monkeypatch.setattr(bindings, "TASK_ROWS", 3)
+    turns = spark.read.parquet(f"{SF}/conversations.parquet").count()
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert f", {-(-turns // 3)}), REPARTITION_BY_NUM" in plan
