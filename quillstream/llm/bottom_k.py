@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,36 +27,36 @@ COMMON = 200_000
 LISTS = 1_000_000
 
 
-def _line(text: bytes) -> tuple[bytes, list[int], list[int]]:
+def _line(text: bytes, words: int) -> tuple[bytes, list[int], list[int]]:
     """The words of a text, lower-cased (A-Z) and joined by spaces, with the starts and ends of its shingles."""
     # bytes.lower() and bytes.split() know ASCII only, which is what is asked for
     own = text.lower().split()
     ends = np.cumsum([len(w) + 1 for w in own]).tolist()
-    if len(own) <= SHINGLE:
+    if len(own) <= words:
         return b" ".join(own), [0] * bool(own), ends[-1:]
-    return b" ".join(own), [0, *ends[:-SHINGLE]], ends[SHINGLE - 1 :]
+    return b" ".join(own), [0, *ends[:-words]], ends[words - 1 :]
 
 
-def shingles(text: bytes) -> set[bytes]:
+def shingles(text: bytes, words: int = SHINGLE) -> set[bytes]:
     """The distinct shingles; a text of fewer words has its whole sequence, one without words none."""
-    line, starts, ends = _line(text)
+    line, starts, ends = _line(text, words)
     return {line[a : b - 1] for a, b in zip(starts, ends, strict=True)}
 
 
-def hashes(text: bytes) -> np.ndarray:
+def hashes(text: bytes, words: int = SHINGLE) -> np.ndarray:
     """The distinct hashes of the shingles in ascending order; the first RETAINED are the sketch."""
-    line, starts, ends = _line(text)
+    line, starts, ends = _line(text, words)
     digest = xxhash.xxh64_intdigest
     got = np.fromiter((digest(line[a : b - 1], SEED) for a, b in zip(starts, ends, strict=True)), dtype="<u8", count=len(starts))
     return np.unique(got.view("<i8"))
 
 
-def sketched(docs: DataFrame) -> DataFrame:
+def sketched(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
     """(doc_id, digest, n, k1, k2, sketch) a document: its text's digest, the number of its shingles, 128 bits of its set, and the sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (whole.slice(k, common.SLICE) for whole in batches for k in range(0, whole.num_rows, common.SLICE)):
-            own = [hashes(t) for t in b.column(2).to_pylist()]
+            own = [hashes(t, words) for t in b.column(2).to_pylist()]
             keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in own), dtype="<i8").reshape(-1, 2)
             ends = np.cumsum([0] + [min(len(s), RETAINED) for s in own])
             flat = np.concatenate([s[:RETAINED] for s in own])
@@ -116,17 +116,20 @@ def _sizes(n: Column, m: Column) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * SIMILARITY
 
 
-def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    last: tuple[int | None, set[bytes]] = None, set()
-    for b in (whole.slice(k, common.SLICE) for whole in batches for k in range(0, whole.num_rows, common.SLICE)):
-        keep = []
-        for v, x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-            if last[0] != v:
-                last = v, shingles(y)
-            own, other = shingles(x), last[1]
-            same = len(own & other)
-            keep.append(same * 100 >= (len(own) + len(other) - same) * SIMILARITY)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+def _confirmed(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[int | None, set[bytes]] = None, set()
+        for b in (whole.slice(k, common.SLICE) for whole in batches for k in range(0, whole.num_rows, common.SLICE)):
+            keep = []
+            for v, x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                if last[0] != v:
+                    last = v, shingles(y, words)
+                own, other = shingles(x, words), last[1]
+                same = len(own & other)
+                keep.append(same * 100 >= (len(own) + len(other) - same) * SIMILARITY)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
 
 
 def open_nodes(near: DataFrame, root: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -145,7 +148,7 @@ def open_nodes(near: DataFrame, root: DataFrame, sizes: DataFrame) -> DataFrame:
     return common.saved_table(lists.where(F.col("lists") >= least).select("node", "root"))
 
 
-def open_pairs(whole: DataFrame, state: DataFrame) -> DataFrame:
+def open_pairs(whole: DataFrame, state: DataFrame, words: int = SHINGLE) -> DataFrame:
     """(u, v): pairs of nodes of different roots that may be similar by an exact filter on their whole shingle sets.
 
     Nodes are rows (node, root) of ``state``, with their texts in ``whole``. Shingles are put in one order, the commonest
@@ -156,7 +159,7 @@ def open_pairs(whole: DataFrame, state: DataFrame) -> DataFrame:
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (x.slice(k, common.SLICE) for x in batches for k in range(0, x.num_rows, common.SLICE)):
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([hashes(t) for t in b.column(0).to_pylist()]))], names=["value"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([hashes(t, words) for t in b.column(0).to_pylist()]))], names=["value"])
 
     often = own.select("text").mapInArrow(sets, "value long").groupBy("value").agg(F.count("*").alias("often")).where("often > 2")
     last = np.array([r.value for r in often.orderBy(F.col("often").desc(), "value").limit(COMMON).collect()][::-1], dtype=np.int64)
@@ -168,7 +171,7 @@ def open_pairs(whole: DataFrame, state: DataFrame) -> DataFrame:
         for b in (x.slice(k, common.SLICE) for x in batches for k in range(0, x.num_rows, common.SLICE)):
             values, at, sizes = [], [], []
             for t in b.column(2).to_pylist():
-                own = hashes(t)
+                own = hashes(t, words)
                 if len(known):
                     found = np.minimum(np.searchsorted(known, own), len(known) - 1)
                     own = own[np.argsort(np.where(known[found] == own, place[found], -1), kind="stable")]
@@ -191,7 +194,7 @@ def open_pairs(whole: DataFrame, state: DataFrame) -> DataFrame:
     return both.select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
 
 
-def links(docs: DataFrame, groups: DataFrame) -> DataFrame:
+def links(docs: DataFrame, groups: DataFrame, words: int = SHINGLE) -> DataFrame:
     """(u, v): confirmed links between nodes (sets) whose chains connect all linked ones.
 
     Each set is first compared with the heaviest lead that it meets in any list, then with the leads of all its lists.
@@ -215,7 +218,7 @@ def links(docs: DataFrame, groups: DataFrame) -> DataFrame:
         open_ = common.saved_table(met.select("u", "v", "n_u", "n_v", "s_u", "s_v").mapInArrow(_likely, "u long, v long"))
         whole = texts(open_.select(F.col("u").alias("node")).union(open_.select("v")).distinct())
         x, y = (whole.select(F.col("node").alias(k), F.col("text").alias(f"t_{k}")) for k in ("u", "v"))
-        return common.saved_table(open_.join(x, "u").join(y, "v").select("u", "v", "t_u", "t_v").mapInArrow(_confirmed, "u long, v long"))
+        return common.saved_table(open_.join(x, "u").join(y, "v").select("u", "v", "t_u", "t_v").mapInArrow(_confirmed(words), "u long, v long"))
 
     first = common.saved_table(near.where("node <> lead").groupBy(F.col("node").alias("u")).agg(F.max(F.struct("weight", "lead")).alias("best")).select("u", F.col("best.lead").alias("v")))
     star = confirmed(first)
@@ -224,11 +227,11 @@ def links(docs: DataFrame, groups: DataFrame) -> DataFrame:
     more = near.where("node <> lead").select(F.col("node").alias("u"), F.col("lead").alias("v")).distinct().join(of("u"), "u", "left").join(of("v"), "v", "left")
     star = star.union(confirmed(more.where(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v").join(first, ["u", "v"], "left_anti")))
     state = open_nodes(near, common.components(star), sketch.select("node", "n"))
-    return star.union(confirmed(open_pairs(texts(state.select("node")), state)))
+    return star.union(confirmed(open_pairs(texts(state.select("node")), state, words)))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of each row; documents link if 100 * intersection >= 80 * union of their shingle sets.
+def near_duplicates(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of each row; documents link if 100 * intersection >= 80 * union of their sets of shingles of so many words.
 
     Null and empty texts and texts without words have no shingles and link with nothing, not with each other. Rows with
     equal sets are one node, so exact copies are never compared. Each row counts for its text: rows that repeat a
@@ -238,10 +241,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     empty one.
     """
     docs = docs.select("doc_id", "text")
-    rows = common.saved_table(sketched(docs))
+    rows = common.saved_table(sketched(docs, words))
     groups = rows.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("digest").alias("digest"), F.first("sketch").alias("sketch"))
     groups = common.saved_table(groups.withColumn("node", F.monotonically_increasing_id()))
-    root = common.components(links(docs, groups))
+    root = common.components(links(docs, groups, words))
     found = common.saved_table(groups.join(root, "node", "left").select("k1", "k2", "id", F.coalesce("root", "node").alias("root")))
     low = found.groupBy("root").agg(F.min("id").alias("component_id"))
     whole = rows.where("n > 0").join(found.join(low, "root").select("k1", "k2", "component_id"), ["k1", "k2"])

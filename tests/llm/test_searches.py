@@ -246,3 +246,27 @@ def test_near_duplicate_stage_with_odd_column_names(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, _row string, `a.b` string, `c``d` string")
     kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
     assert kept.columns == docs.columns and sorted(map(tuple, kept.collect()), key=str) == sorted([rows[2], rows[4], rows[5]], key=str)
+
+
+def test_stage_is_the_minhash_operator_with_five_words(spark, monkeypatch):
+    """The stage's documents come from op12's operator; what it links at five words is what all pairs of five-word sets do."""
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    texts = []
+    for _ in range(5):
+        base = [f"w{rng.randrange(400)}" for _ in range(rng.randint(20, 150))]
+        texts += [" ".join(w if rng.random() > 0.01 else f"x{rng.randrange(400)}" for w in base) for _ in range(6)]
+    rows = [*enumerate(texts), (100, None), (101, " "), (102, "one two"), (103, "One  two"), (200, "left text"), (201, "left text"), (201, "right text"), (202, "right text")]
+    sets = [(i, frozenset(" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if (w := (t or "").lower().split()) else frozenset()) for i, t in rows]
+    comp = {i: i for i, _ in sets}
+    for _ in comp:
+        for i, a in sets:
+            for j, b in sets:
+                if 100 * len(a & b) >= 80 * len(a | b):
+                    comp[i] = comp[j] = min(comp[i], comp[j])
+    asked = []
+    operator = bottom_k.near_duplicates
+    monkeypatch.setattr(bottom_k, "near_duplicates", lambda docs, words: asked.append(words) or operator(docs, words))
+    got = [r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()]
+    assert asked == [5] and sorted(got) == sorted(i for i in comp if comp[i] == i) and len(got) < 25
