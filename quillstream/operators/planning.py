@@ -1,11 +1,16 @@
 """Bounded shortest paths over the units of a document: execution blocks of a bounded duration, and the cheapest line breaks of a group.
 
-Each is one fold over the candidate boundaries of a document, in Spark's own expressions. The fold holds only the
-boundaries that a later one can still reach, so its state is as wide as the longest block, not as the document.
+Blocks are one fold over the candidate boundaries of a document, in Spark's own expressions. The fold holds only the
+boundaries that a later one can still reach, so its state is as wide as the longest block, not as the document. Line
+breaks are found for many groups at a time, boundary by boundary, on arrays of what Spark has summed up at each.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +18,11 @@ from ..functions import rules
 from .once import once
 
 _PATH = "struct<cost:bigint,path:array<bigint>>"
+#: Groups whose line breaks are worked out at a time; what a unit of cost counts beside a cue, and the value of no way.
+GROUPS = 8192
+_CUE, _NONE = 1 << 24, 1 << 62
+_WHOLE = ["n", "start_ms", "end_ms", "next_start", "chars", "all_words", "letters", "han", "cut_cost", "dangling_k"]
+_TRUTHS = ["called", "free"]
 
 
 def boundaries(units: DataFrame, key: list[str]) -> DataFrame:
@@ -123,10 +133,10 @@ def cuts(units: DataFrame, key: list[str]) -> DataFrame:
 def line_breaks(units: DataFrame, key: list[str], group: list[str], english: int = rules.ENGLISH_LIMIT, other: int = rules.OTHER_LIMIT, shortest: int = rules.SHORTEST, most_cues: int | None = None, incomplete: bool = False) -> DataFrame:
     """(key, group, cues, cost, breaks): the cheapest cuts of each group into cues that fit the limits, as places n; null if none do.
 
-    The cost is in tenths: 15 a cue, what the cuts cost, and what short lines, lone words and brief cues cost. The fold
-    keeps the best way to each boundary for each number of cues, since the cheaper way may use cues that ``most_cues``
-    doesn't leave; of equal ways the one with the earlier boundary before, at the end the one with fewer cues. A group's
-    units stand in one row.
+    The cost is in tenths: 15 a cue, what the cuts cost, and what short lines, lone words and brief cues cost. The best way
+    to each boundary is kept for each number of cues, since the cheaper way may use cues that ``most_cues`` doesn't
+    leave; of equal ways the one with the earlier boundary before, at the end the one with fewer cues. A group's units
+    stand in one row, GROUPS groups are worked out at a time.
     """
     own = Window.partitionBy(*key, *group).orderBy("n")
     upto = lambda c: F.sum(c).over(own.rowsBetween(Window.unboundedPreceding, 0)).cast("long")
@@ -136,19 +146,76 @@ def line_breaks(units: DataFrame, key: list[str], group: list[str], english: int
         "called": F.col("shown").rlike("[?!？！]$"), "free": F.col("legal") & (F.lit(incomplete) | ~F.col("incomplete")),
         "dangles": F.last(F.when(F.col("words") > 0, F.struct("k", "dangling")), True).over(own.rowsBetween(Window.unboundedPreceding, 0)),
     })
-    unit = F.struct("k", "n", *[F.col(c).cast("long").alias(c) for c in ("start_ms", "end_ms", "next_start")], "chars", "all_words", "letters", "han", "called", "free", "cut_cost", "dangles")
+    whole = [F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(c) for c in _WHOLE if c != "dangling_k"]
+    dangling = F.coalesce(F.when(F.col("dangles.dangling"), F.col("dangles.k")), F.lit(0)).alias("dangling_k")
+    unit = F.struct("k", *whole, dangling, *[F.coalesce(F.col(c), F.lit(False)).alias(c) for c in _TRUTHS])
     groups = rows.groupBy(*key, *group).agg(F.sort_array(F.collect_list(unit)).alias("units"))
-    size, words, letters, han, took = "(x.chars - o.chars - 1)", "(x.all_words - o.all_words)", "(x.letters - o.letters)", "(x.han - o.han)", "greatest(0, x.end_ms - o.start_ms)"
-    latin = f"{letters} >= greatest(1, {han})"
-    segment = f"""if({latin}, if({size} < 16 AND {words} > 1, (16 - {size}) * 12, 0) + if({words} = 1 AND NOT x.called, 180, 0) + CASE WHEN {words} > 1 AND {took} < {shortest} THEN 400 WHEN {words} > 1 AND {took} < 800 THEN 140 ELSE 0 END,
-      if({took} < {shortest} AND {han} > 2, 400, 0))"""
-    fits = f"{size} BETWEEN 1 AND if({latin}, {english}, {other})" + (f" AND o.cues < {most_cues}" if most_cues is not None else "")
-    cut = "if(x.k = size(units), 0, x.cut_cost + if(coalesce(x.dangles.k >= o.k AND x.dangles.dangling, false), 180, 0))"
-    option = f"transform(filter(s.open, o -> (x.k = size(units) OR x.free) AND {fits}), o -> named_struct('cost', o.cost + 15 + {segment} + {cut}, 'k', o.k, 'cues', o.cues + 1, 'path', if(x.k = size(units), o.path, concat(o.path, array(x.n)))))"
-    state = "named_struct('k', x.k + 1, 'cues', b.cues, 'cost', b.cost, 'path', b.path, 'chars', x.chars, 'all_words', x.all_words, 'letters', x.letters, 'han', x.han, 'start_ms', x.next_start)"
-    each = "transform(array_distinct(transform(found, f -> f.cues)), c -> array_min(filter(found, f -> f.cues = c)))"
-    kept = f"filter(s.open, o -> {size} < {max(english, other)})"
-    step = f"transform(array({option}), found -> named_struct('open', if(x.k = size(units), s.open, concat({kept}, transform({each}, b -> {state}))), 'best', array_min(transform(found, f -> named_struct('cost', f.cost, 'cues', f.cues, 'path', f.path)))))[0]"
-    start = "named_struct('open', array(named_struct('k', 1L, 'cues', 0L, 'cost', 0L, 'path', cast(array() AS array<bigint>), 'chars', 0L, 'all_words', 0L, 'letters', 0L, 'han', 0L, 'start_ms', units[0].start_ms)), 'best', cast(NULL AS struct<cost:bigint,cues:bigint,path:array<bigint>>))"
-    best = F.expr(f"aggregate(units, {start}, (s, x) -> {step}, s -> s.best)")
-    return once(groups, best=best).select(*key, *group, F.col("best.cues").alias("cues"), F.col("best.cost").alias("cost"), F.col("best.path").alias("breaks"))
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in groups.schema.fields[:-1]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (x.slice(k, GROUPS) for x in batches for k in range(0, x.num_rows, GROUPS)):
+            found = _cheapest(b.column(b.num_columns - 1), english, other, shortest, most_cues)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *found], names=[*b.schema.names[:-1], "cues", "cost", "breaks"])
+
+    return groups.mapInArrow(run, ", ".join([*kinds, "cues long", "cost long", "breaks array<long>"]))
+
+
+def _cheapest(units: pa.ListArray, english: int, other: int, shortest: int, most: int | None) -> list[pa.Array]:
+    """(cues, cost, breaks) of each group of units. A way's cost and cues stand in one whole number, so that it orders ways."""
+    ends = units.offsets.to_numpy()
+    ends, size = ends[:-1] - ends[0], np.diff(ends)
+    flat = dict(zip(["k", *_WHOLE, *_TRUTHS], (c.to_numpy(zero_copy_only=False) for c in units.flatten().flatten()), strict=True))
+    longest = int(size.max(initial=0))
+    # a limit that no group reaches needs no state of its own for each number of cues
+    several = most is not None and most < longest
+    columns = most + 1 if several else 1
+    # boundary 0 of a group stands before its first unit, so group g's boundaries begin at ends[g] + g
+    at, unit_at = ends + np.arange(len(size)), np.arange(len(flat["k"]))
+    after = unit_at + np.repeat(np.arange(len(size)), size) + 1
+    total = {c: np.zeros(len(unit_at) + len(size), dtype=np.int64) for c in ("chars", "all_words", "letters", "han")}
+    for c, v in total.items():
+        v[after] = flat[c]
+    start = np.zeros(len(unit_at) + len(size), dtype=np.int64)
+    start[after], start[at] = flat["next_start"], flat["start_ms"][ends]
+    best = np.full((len(start), columns), _NONE, dtype=np.int64)
+    back = np.zeros((len(start), columns), dtype=np.int64)
+    best[at, 0] = 0
+    order = np.argsort(-size, kind="stable")
+    for k in range(1, longest + 1):
+        g = order[: np.searchsorted(-size[order], -k, side="right")]
+        g = g[(size[g] == k) | flat["free"][ends[g] + k - 1]]
+        for j in range(k - 1, -1, -1):
+            x, to, of = ends[g] + k - 1, at[g] + k, at[g] + j
+            chars, words, letters, han = (total[c][to] - total[c][of] for c in ("chars", "all_words", "letters", "han"))
+            chars, took, latin = chars - 1, np.maximum(0, flat["end_ms"][x] - start[of]), letters >= np.maximum(1, han)
+            line = np.where((chars < 16) & (words > 1), (16 - chars) * 12, 0) + np.where((words == 1) & ~flat["called"][x], 180, 0)
+            line += np.where(words > 1, np.where(took < shortest, 400, np.where(took < 800, 140, 0)), 0)
+            cost = 15 + np.where(latin, line, np.where((took < shortest) & (han > 2), 400, 0))
+            cost += np.where(size[g] == k, 0, flat["cut_cost"][x] + np.where(flat["dangling_k"][x] > j, 180, 0))
+            fits = (chars >= 1) & (chars <= np.where(latin, english, other))
+            way = best[of[fits]]
+            way = np.where(way < _NONE // 2, way + (cost[fits] * _CUE + 1)[:, None], _NONE)
+            if several:
+                way = np.concatenate([np.full((len(way), 1), _NONE), way[:, :-1]], axis=1)
+            # of equal ways the later one in this loop has the earlier boundary before
+            better = (way <= best[to[fits]]) & (way < _NONE)
+            row, column = np.nonzero(better)
+            best[to[fits][row], column], back[to[fits][row], column] = way[row, column], j
+            g = g[chars < max(english, other)]
+            if not len(g):
+                break
+    last = best[at + size]
+    column = last.argmin(axis=1)
+    value = last[np.arange(len(size)), column]
+    none = value >= _NONE // 2
+    group, place, step = np.flatnonzero(~none), size[~none], 0
+    column, cut = column[~none], []
+    while len(group):
+        place = back[at[group] + place, column]
+        group, place, column = group[place > 0], place[place > 0], column[place > 0] - several
+        cut.append((group, np.full(len(group), step), flat["n"][ends[group] + place - 1]))
+        step -= 1
+    group, step, n = (np.concatenate([c[i] for c in cut]) if cut else np.zeros(0, dtype=np.int64) for i in range(3))
+    first = np.concatenate([[0], np.cumsum(np.bincount(group, minlength=len(size)))]).astype(np.int32)
+    breaks = pa.ListArray.from_arrays(pa.array(first, mask=np.append(none, False)), pa.array(n[np.lexsort((step, group))].astype(np.int64)))
+    return [pa.array(value % _CUE, mask=none), pa.array(value // _CUE, mask=none), breaks]

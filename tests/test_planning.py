@@ -169,3 +169,21 @@ def test_line_breaks_by_force(spark, most, english, other):
     got = planning.line_breaks(spark.createDataFrame(rows, WORD), ["doc_id"], ["grp"], english, other, most_cues=most).collect()
     found = {(r.doc_id, r.grp, r.cues, r.cost, None if r.breaks is None else tuple(r.breaks)) for r in got}
     assert found == want and len(got) == len(want) and any(r.breaks is None for r in got) and sum(bool(r.breaks) for r in got) > 40
+
+
+def test_line_breaks_of_many_groups_at_a_time(spark, monkeypatch):
+    """How many groups are worked out together changes nothing; groups of very different sizes and such without a way stand side by side."""
+    rng = random.Random(4)
+    rows = []
+    for doc in range(60):
+        at = 0
+        for n in range(rng.choice([1, 2, 7, 30, 200])):
+            word = rng.choice(["a", "of", "wonder", "set", "up", "字", "unless", "x" * 60 if doc % 7 == 0 else "go"])
+            rows.append((doc, n, 0, word, rng.choice(["", "", ",", "."]), at, at + 200, rng.random() < 0.1))
+            at += rng.choice([200, 300, 700])
+    units = spark.createDataFrame(rows, WORD).repartition(1)
+    runs = []
+    for together, most in ((1, 6), (7, 6), (10_000, 6), (3, None), (10_000, None)):
+        monkeypatch.setattr(planning, "GROUPS", together)
+        runs.append(sorted(map(str, planning.line_breaks(units, ["doc_id"], ["grp"], most_cues=most).collect())))
+    assert len(runs[0]) == 60 and runs[0] == runs[1] == runs[2] and runs[3] == runs[4] and runs[0] != runs[3]
