@@ -412,6 +412,21 @@ def test_lines_recall_against_all_pairs(spark):
     assert wrong == 0 and want > 150 and went >= 0.9 * want, (want, went, wrong)
 
 
+def test_long_lines_have_a_block_at_each_word(spark):
+    """A line of many words has all runs of its sorted words as blocks, so changed words cost only the runs that they touch."""
+    words = [f"word{k}x" for k in range(90)]
+    one = spark.createDataFrame([(" ".join(words),), (" ".join(words[:24]),)], "norm string")
+    assert [r.n for r in one.select(line_dedup.F.size(line_dedup.blocks(line_dedup.F.col("norm"))).alias("n")).collect()] == [87, 21]
+    # a changed word takes the runs that hold it, and parts those that its successor falls into
+    rng = random.Random(12)
+    for changed in (1, 4, 10):
+        own = list(words)
+        for k in rng.sample(range(90), changed):
+            own[k] = f"other{k}x"
+        first, second = (set(r.b) for r in spark.createDataFrame([(" ".join(words),), (" ".join(own),)], "norm string").select(line_dedup.blocks(line_dedup.F.col("norm")).alias("b")).collect())
+        assert len(first & second) >= 87 - 7 * changed
+
+
 def test_very_long_lines(spark):
     """Lines over LONG characters are compared by words; a line of one long word is compared as a whole."""
     rng = random.Random(3)
