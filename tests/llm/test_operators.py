@@ -427,6 +427,49 @@ def test_long_lines_have_a_block_at_each_word(spark):
         assert len(first & second) >= 87 - 7 * changed
 
 
+def test_blocks_are_shuffled_once_a_distinct_line(spark, monkeypatch):
+    """Each distinct line has one number and its blocks once, in one long; blocks in two columns give the same candidates."""
+    F = line_dedup.F
+    docs = spark.createDataFrame([(1, f"{LINE_A}\n\n{LINE_B}", "", "", 0, ""), (2, f"{LINE_A} too\n{LINE_A}", "", "", 0, ""), (None, None, "", "", 0, ""), (None, LINE_B, "", "", 0, "")], DOC)
+    rows = line_dedup.lines(docs).select("doc_id", "tag", "pos", F.xxhash64("norm").alias("h"))
+    texts = line_dedup.texts_of(rows, docs)
+    assert sorted(r.norm for r in texts.collect()) == sorted([LINE_A, f"{LINE_A} too", LINE_B]) and texts.select("line").distinct().count() == 3
+    held = line_dedup.candidates(texts)
+    assert held.count() > 0 and {r.norm for r in held.join(texts, "line").collect()} == {LINE_A, f"{LINE_A} too"}
+    exchange = next(x for x in held._jdf.queryExecution().optimizedPlan().toString().splitlines() if "RepartitionByExpression" in x)
+    assert "both" in exchange
+    pairs = {(r.line, r.lead) for r in held.collect()}
+    monkeypatch.setattr(line_dedup, "PACKED", -1)
+    assert {(r.line, r.lead) for r in line_dedup.candidates(texts).collect()} == pairs
+
+
+LINE_A, LINE_B = "the quick brown foxes jumped over twelve lazy sleeping hounds yesterday", "completely other words standing within another paragraph entirely without anything shared"
+
+
+def test_sketches_rule_out_no_similar_lines(spark):
+    """Edits that stay within the similarity never fail the sketch, astral characters included; most lines of other words do."""
+    rng = random.Random(8)
+    letters = "abcdefghijklmnop \U0001F600ü"
+    say = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    pairs = [("a", "b"), ("ab", "ab"), ("x" * 201, "y" * 201)]
+    for _ in range(150):
+        own = list(base := say(rng.randint(2, 200)))
+        for _ in range(len(own) // 5):
+            k = rng.randrange(len(own))
+            own[k : k + 1] = rng.choice([[], [rng.choice(letters)], [own[k], rng.choice(letters)]])
+            own = own or ["a"]
+        pairs.append((base, "".join(own)))
+    pairs += [(say(70), say(70)) for _ in range(100)]
+    F = line_dedup.F
+    both = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(pairs)], "k long, x string, y string")
+    side = lambda c: both.select(F.col("k").alias("h"), F.col(c).alias("norm"))
+    sketch = lambda c: side(c).select("h", F.length("norm").alias("size")).join(line_dedup.sketched(side(c)), "h", "left")
+    got = both.alias("p").join(sketch("x").alias("a"), F.col("a.h") == F.col("p.k")).join(sketch("y").alias("b"), F.col("b.h") == F.col("p.k"))
+    got = {r.k: r for r in got.select("k", line_dedup.similar(F.col("x"), F.col("y")).alias("similar"), line_dedup.may_be_similar("a", "b").alias("may")).collect()}
+    assert len(got) == len(pairs) and sum(r.similar for r in got.values()) > 100 and all(r.may for r in got.values() if r.similar)
+    assert sum(not got[k].may for k in range(len(pairs) - 100, len(pairs))) > 50 and got[2].may
+
+
 def test_very_long_lines(spark):
     """Lines over LONG characters are compared by words; a line of one long word is compared as a whole."""
     rng = random.Random(3)
