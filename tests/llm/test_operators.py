@@ -443,6 +443,29 @@ def test_blocks_are_shuffled_once_a_distinct_line(spark, monkeypatch):
     assert {(r.line, r.lead) for r in line_dedup.candidates(texts).collect()} == pairs
 
 
+def test_lines_are_compared_in_parts(spark, monkeypatch):
+    """Rows of blocks and pairs of texts are shuffled in parts of bounded bytes, all rows once; the lines that go are the same."""
+    F, parted, table = line_dedup.F, line_dedup._parted, line_dedup._table
+    ids = spark.range(1000).select("id", (F.col("id") % 7).alias("key"))
+    parts = parted(ids, ids.agg(F.count("*") * 10), 3000, "key")
+    assert len(parts) == 4 and sorted(r.id for p in parts for r in p.collect()) == list(range(1000)) and sum(len({r.key for r in p.collect()}) for p in parts) == 7
+    assert len(parted(ids, ids.where("id < 0").agg(F.sum("id")), 0, "key")) == 1
+    rng = random.Random(21)
+    vocab = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8))) for _ in range(60)]
+    lines = []
+    for size in (6, 9, 30):
+        for _ in range(12):
+            base = [rng.choice(vocab) for _ in range(size)]
+            lines += [" ".join(base), " ".join([*base[:-1], "other"]), " ".join([*base[: size // 2], *(rng.choice(vocab) for _ in range(size // 2))])]
+    docs = spark.createDataFrame([(k, t, "", "", 0, "") for k, t in enumerate(lines)], DOC)
+    got = lambda: sorted((r.doc_id, r.n_removed, r.removed) for r in line_dedup.report(docs).collect())
+    whole, met = got(), []
+    monkeypatch.setattr(line_dedup, "_parted", lambda df, load, room, *keys: parted(df, load, (load.first()[0] or 0) // 3 + 1, *keys))
+    monkeypatch.setattr(line_dedup, "_table", lambda df: met.append(table(df)) or met[-1])
+    assert got() == whole and sum(n for _, n, _ in whole) >= 30
+    assert 2 <= len([t for t in met if "sure" in t.columns]) <= 4
+
+
 LINE_A, LINE_B = "the quick brown foxes jumped over twelve lazy sleeping hounds yesterday", "completely other words standing within another paragraph entirely without anything shared"
 
 
