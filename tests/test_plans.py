@@ -86,3 +86,36 @@ def test_turns_are_parted_by_number(spark, monkeypatch, name):
     turns = spark.read.parquet(f"{SF}/conversations.parquet").count()
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert f", {-(-turns // 3)}), REPARTITION_BY_NUM" in plan
+
+
+def test_sentence_by_overlap_of_all_sentences(spark, monkeypatch):
+    """Each unit meets all sentences of its cue, far ones too, and both ends of a sentence's units are marked; by brute force on sentences that overlap and lie apart."""
+    import random
+
+    from quillstream.plans import common_sql
+
+    rng = random.Random(4)
+    words = []
+    for c in range(12):
+        n = rng.randint(1, 60)
+        for pos in range(n):
+            # sentences lie at places of their own, some within one another
+            start = (c * 7919 + pos // 9 * 104729) % (20 if c < 6 else 400) * 50 + pos % 9 * 300
+            words.append((c, 0, "a", pos, start, start + rng.choice([50, 100, 400])))
+    df = spark.createDataFrame(words, "doc_id long, idx long, speaker string, pos long, start_ms long, end_ms long")
+    monkeypatch.setitem(common_sql._ENTITIES, "words", (lambda spark, sf_dir: df, ""))
+    got = {(r.doc_id, r.pos): (r.sentence, r.first_of, r.last_of) for r in QUERIES["sentence_by_overlap"](spark, "").collect()}
+    want, far = {}, 0
+    for c in range(12):
+        own = [w for w in words if w[0] == c]
+        spans = {k: (min(w[4] for w in own if w[3] // 9 == k), max(w[5] for w in own if w[3] // 9 == k)) for k in {w[3] // 9 for w in own}}
+        for w in own:
+            s, e = w[4] + 150, w[5] + 150
+            over = {k: min(e, b) - max(s, a) for k, (a, b) in spans.items()}
+            best = max(over.values())
+            want[c, w[3]] = min(k for k, x in over.items() if x == best) if best > 0 else min((abs(s + e - a - b), k) for k, (a, b) in spans.items())[1]
+            far += abs(want[c, w[3]] - w[3] // 9) > 1
+    ends = {}
+    for (c, pos), k in sorted(want.items()):
+        ends.setdefault((c, k), []).append(pos)
+    assert far > 10 and got == {(c, pos): (k, pos == ends[c, k][0], pos == ends[c, k][-1]) for (c, pos), k in want.items()}
